@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import pii
+from loomgraph.llm import handwritten, pii
 from loomgraph.sources.tables import table
 
 
@@ -16,5 +16,9 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact_all(table(spark, d, "observations"), pii.fit_names(table(spark, d, "contributors")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "source_files")).select("file_path")
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found}
 ORACLE: dict[str, str] = {}
