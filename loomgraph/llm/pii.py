@@ -221,42 +221,36 @@ PARTICLES = {"van", "von", "der", "den", "de", "del", "della", "di", "da", "du",
 _PART = r"(?:(?:van|von|de|del|della|di|da|du|la|le|ter|ten|bin|ben)[ ](?:(?:der|den|la|los)[ ])?|(?:al|el)-|O'|d')"
 _WORD = rf"{_U}{{3,}}"
 _FAM = rf"{_PART}?{_WORD}(?:-{_WORD})?"
-_NAME = re.compile(
-    rf"""(?<![\w@.\-])(?:
-    (?P<g1>{_WORD}(?:-{_WORD})?)[ ](?:{_U}\.[ ]?){{0,2}}(?P<f1>{_FAM})
-    | (?P<f2>{_FAM}),[ ]?(?P<g2>{_WORD}|(?:{_U}\.[ ]?){{1,3}}(?<=\.))
-    | (?P<i3>(?:{_U}\.[ \-]?){{1,3}})(?P<f3>{_FAM})
-    )""",
-    re.X | re.I,
-)
-_LEAD = re.compile(r"[^\W\d_]+|.", re.S)
-
-
 def _familyish(model: NameModel, fam: str) -> float:
     body = re.sub(rf"^{_PART}", "", fam, flags=re.I)
     return min(model.score(t) for t in body.split("-"))
 
 
+_TOKEN = re.compile(r"[^\W\d_]+")
+
+
 def find_names(text: str, model: NameModel, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of personal names outside the spans already taken."""
-    out, pos, n = [], 0, len(text)
+    """Spans of personal names outside the spans already taken. A name can only begin with a token that looks like a name, a particle or an initial."""
+    out: list[tuple[int, int]] = []
+    pos, n = 0, len(text)
     hide = bytearray(n)
     for a, b in taken:
         hide[a:b] = b"\x01" * (b - a)
-    while pos < n:
-        m = _NAME.search(text, pos)
-        if not m:
-            break
-        a = m.start()
-        best = None
-        if not hide[a]:
-            best = _judge(text, a, model)
-        if best and not any(hide[a : best]) and not (best < n and (text[best].isalnum() or text[best] in "@_")):
-            out.append((a, best))
-            pos = best
-        else:
-            w = _LEAD.match(text, a)
-            pos = max(a + 1, w.end() if w else a + 1)
+    for m in _TOKEN.finditer(text):
+        a, word = m.start(), m.group()
+        if a < pos or hide[a]:
+            continue
+        if len(word) == 1:
+            if text[a + 1 : a + 2] != ".":
+                continue
+        elif model.score(word) <= 0 and word.lower() not in PARTICLES:
+            continue
+        if a and (text[a - 1] in "@.-_" or text[a - 1].isdigit()):
+            continue
+        end = _judge(text, a, model)
+        if end and not any(hide[a:end]) and not (end < n and (text[end].isalnum() or text[end] in "@_")):
+            out.append((a, end))
+            pos = end
     return out
 
 
