@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import handwritten, pii
+from loomgraph.llm import handwritten, mixing, pii, reading, similar, tokens
 from loomgraph.sources.tables import table
 
 
@@ -20,5 +20,32 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "source_files")).select("file_path")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_pairs(table(spark, d, "node_vectors"))
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return similar.nearest(table(spark, d, "node_vectors"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels")).select("doc_id", "level")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+    "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found,
+}
 ORACLE: dict[str, str] = {}
