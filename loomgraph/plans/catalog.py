@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import dealt
+from loomgraph.plans import dealt, graph_queries
 
 QUERIES = {**dealt.QUERIES}
 ORACLE = {**dealt.ORACLE}
+for _m in (graph_queries,):
+    QUERIES |= _m.R.queries
+    ORACLE |= _m.R.sql
