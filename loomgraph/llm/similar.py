@@ -69,23 +69,26 @@ def search_block(base: np.ndarray, queries: np.ndarray, k: int, floor: float, se
     a = np.random.default_rng(seed).standard_normal((base.shape[1], PROJECTIONS))
     pb, pq = base @ a, queries @ a
     order = np.argsort(pb, axis=0)
-    place = np.empty(order.shape, np.int32)
+    place = np.empty(order.shape, np.uint16)  # a block has fewer than 65,536 rows
     arrays = np.take_along_axis(pb, order, axis=0)
     for j in range(PROJECTIONS):
-        place[order[:, j], j] = np.arange(len(base), dtype=np.int32)
-    place = np.ascontiguousarray(place.T)
+        place[order[:, j], j] = np.arange(len(base), dtype=np.uint16)
+    place, columns = np.ascontiguousarray(place.T), [np.ascontiguousarray(arrays[:, j]) for j in range(PROJECTIONS)]
     last = math.sqrt(max(0.0, 2 - 2 * floor)) if floor > -1 else 2.0
     out_q, out_b, out_c = [], [], []
     open_q = np.arange(len(queries))
     for radius in [*[r for r in RADII if r < last], last]:
         again = []
-        for s in range(0, len(open_q), 1024):
-            q = open_q[s : s + 1024]
+        for s in range(0, len(open_q), 256):
+            q = open_q[s : s + 256]
             hits = np.zeros((len(q), len(base)), np.uint8)
-            for j in range(PROJECTIONS):  # the window of each query in the sorted array j
-                lo = np.searchsorted(arrays[:, j], pq[q, j] - SPAN * radius).astype(np.int32)
-                hi = np.searchsorted(arrays[:, j], pq[q, j] + SPAN * radius, side="right").astype(np.int32)
-                hits += (place[j][None, :] >= lo[:, None]) & (place[j][None, :] < hi[:, None])
+            at, inside = np.empty(hits.shape, np.uint16), np.empty(hits.shape, bool)
+            for j in range(PROJECTIONS):  # the window of each query in the sorted array j, from place lo on
+                lo = np.searchsorted(columns[j], pq[q, j] - SPAN * radius)
+                wide = np.searchsorted(columns[j], pq[q, j] + SPAN * radius, side="right") - lo
+                np.subtract(place[j][None, :], lo.astype(np.uint16)[:, None], out=at)  # places before lo wrap around
+                np.less(at, wide.astype(np.uint16)[:, None], out=inside)
+                np.add(hits, inside.view(np.uint8), out=hits)
             qi, bi = np.nonzero(hits >= THRESHOLD)
             cos = np.einsum("ij,ij->i", queries[q[qi]], base[bi])
             within = cos >= max(floor, 1 - radius * radius / 2) - 1e-12
@@ -121,9 +124,10 @@ def near_classes(classes: DataFrame, k: int, floor: float, probes: int = PROBES)
                     top = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n < len(piv) else np.tile(np.arange(len(piv)), (len(sim), 1))
                     best = np.take_along_axis(top, np.argmax(np.take_along_axis(sim, top, 1), axis=1)[:, None], 1)[:, 0]
                     rows = g.iloc[s : s + 2048]
-                    yield pd.DataFrame({"provider": p, "cid": np.repeat(rows["cid"].to_numpy(), n), "v": np.repeat(rows["v"].to_numpy(), n), "cell": top.ravel().astype("int32"), "home": (top == best[:, None]).ravel()})
+                    yield pd.DataFrame({"provider": p, "cid": rows["cid"].to_numpy(), "v": rows["v"].to_numpy(), "cells": list(top.astype("int32")), "nearest": best.astype("int32")})
 
-    placed = materialise(classes.select("provider", "cid", "v").mapInPandas(assign, "provider string, cid bigint, v array<float>, cell int, home boolean"), "cells")
+    once = materialise(classes.select("provider", "cid", "v").mapInPandas(assign, "provider string, cid bigint, v array<float>, cells array<int>, nearest int"), "cells")
+    placed = once.select("provider", "cid", "v", "nearest", F.explode("cells").alias("cell")).withColumn("home", F.col("cell") == F.col("nearest")).drop("nearest")
     counts = placed.groupBy("provider", "cell").agg(F.sum(F.col("home").cast("long")).alias("base"), F.count(F.lit(1)).alias("asked"))
     cut = counts.select("provider", "cell", F.greatest(F.lit(1), F.ceil(F.col("base") / BLOCK_ROWS)).cast("int").alias("blocks"), F.ceil(F.col("asked") / QUERY_ROWS).cast("int").alias("parts"))
     sized = placed.join(F.broadcast(cut), ["provider", "cell"])  # at most MAX_PIVOTS rows per provider
