@@ -24,10 +24,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_pairs(table(spark, d, "node_vectors"))
 
 
-def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return similar.nearest(table(spark, d, "node_vectors"))
-
-
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -45,7 +41,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
+    "p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p4_found": p4_found, 
     "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found,
 }
 ORACLE: dict[str, str] = {}

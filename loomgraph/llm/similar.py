@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from loomgraph.session import materialise
 
 PROJECTIONS, THRESHOLD, SPAN = 16, 12, 2.0
-RADII = (0.2, 0.4)
+RADII = (0.2, 0.4, 0.7, 1.0, 1.3)
 CELL_ROWS, BLOCK_ROWS, QUERY_ROWS = 1500, 4000, 16_000
 MAX_PIVOTS, PROBES = 16_384, 6
 
@@ -89,10 +89,19 @@ def search_block(base: np.ndarray, queries: np.ndarray, k: int, floor: float, se
                 np.subtract(place[j][None, :], lo.astype(np.uint16)[:, None], out=at)  # places before lo wrap around
                 np.less(at, wide.astype(np.uint16)[:, None], out=inside)
                 np.add(hits, inside.view(np.uint8), out=hits)
-            qi, bi = np.nonzero(hits >= THRESHOLD)
-            cos = np.einsum("ij,ij->i", queries[q[qi]], base[bi])
-            within = cos >= max(floor, 1 - radius * radius / 2) - 1e-12
-            qi, bi, cos = qi[within], bi[within], cos[within]
+            limit = max(floor, 1 - radius * radius / 2) - 1e-12
+            found = hits >= THRESHOLD
+            if np.count_nonzero(found) > 0.01 * found.size:  # many candidates are verified as one product
+                cos_all = np.where(found, queries[q] @ base.T, -2.0)
+                most = min(k + 1, cos_all.shape[1])
+                kth = np.partition(cos_all, cos_all.shape[1] - most, axis=1)[:, -most]
+                qi, bi = np.nonzero(cos_all >= np.maximum(kth, limit)[:, None])
+                cos = cos_all[qi, bi]
+            else:
+                qi, bi = np.nonzero(found)
+                cos = np.einsum("ij,ij->i", queries[q[qi]], base[bi])
+                within = cos >= limit
+                qi, bi, cos = qi[within], bi[within], cos[within]
             done = np.bincount(qi, minlength=len(q)) > k  # the query itself may be among them
             keep = np.ones(len(qi), bool) if radius == last else done[qi]
             out_q.append(q[qi[keep]])
