@@ -104,15 +104,21 @@ def key_profile(edges: DataFrame, probs: Sequence[float] = (0.5, 0.9)) -> DataFr
     """Per (kind, target_qualified): edges, callers, files and quantiles of `line`.
 
     Edges are made unique by id, then summed per (key, caller, file, line), a grouping in which the rows of a hot key lie in
-    all partitions; each result is summed from there in two steps.
+    all partitions; each result is summed from there in two steps. Keys travel as 128-bit, callers and files as 64-bit hashes,
+    so that all aggregations are over numbers; the names of keys are joined to the result.
     """
-    keys = ["kind", "target_qualified"]
-    once = edges.where("id is not null and kind is not null and target_qualified is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in (*keys, "source_qualified", "file_path", "line")])
-    cells = materialise(once.groupBy(*keys, "source_qualified", "file_path", "line").agg(F.count(F.lit(1)).alias("n")), "cells")
-    n = cells.groupBy(*keys).agg(F.sum("n").alias("edges"))
-    callers = cells.where("source_qualified is not null").select(*keys, "source_qualified").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("callers"))
-    files = cells.where("file_path is not null").select(*keys, "file_path").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
+    rows = edges.where("id is not null and kind is not null and target_qualified is not null")
+    k1, k2 = F.xxhash64("kind", "target_qualified"), F.xxhash64("target_qualified", "kind", F.lit("second"))
+    h = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    keys = ["k1", "k2"]
+    slim = rows.select("id", k1.alias("k1"), k2.alias("k2"), h("source_qualified").alias("s"), h("file_path").alias("f"), F.col("line").cast("long").alias("line"))
+    once = slim.groupBy("id").agg(*[F.min(c).alias(c) for c in ("k1", "k2", "s", "f", "line")])
+    cells = materialise(once.groupBy(*keys, "s", "f", "line").agg(F.count(F.lit(1)).alias("n")), "cells")
+    callers = cells.where("s is not null").groupBy(*keys, "s").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("callers"))
+    files = cells.where("f is not null").groupBy(*keys, "f").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
     lines = cells.groupBy(*keys, "line").agg(F.sum("n").alias("n"))
     q = exact_quantiles(lines, keys, "line", "n", probs).groupBy(*keys).agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"line_p{round(p * 100)}") for p in probs])
-    out = n.join(callers, keys, "left").join(files, keys, "left").join(q, keys, "left")
-    return out.select(*keys, "edges", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("files", F.lit(0)).alias("files"), *[f"line_p{round(p * 100)}" for p in probs])
+    names = rows.select("kind", "target_qualified").distinct().select(k1.alias("k1"), k2.alias("k2"), "kind", "target_qualified")
+    n = cells.groupBy(*keys).agg(F.sum("n").alias("edges"))
+    out = names.join(n, keys).join(callers, keys, "left").join(files, keys, "left").join(q, keys, "left")
+    return out.select("kind", "target_qualified", "edges", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("files", F.lit(0)).alias("files"), *[f"line_p{round(p * 100)}" for p in probs])
