@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.resources import TOKENIZERS
 from loomgraph.session import materialise
 
-CHUNK, OVERLAP = 65_536, 2_048
+CHUNK, OVERLAP = 16_384, 1_024
 # Fixed value: the published pre-tokenisation pattern of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SCAN = regex.compile(PATTERN)
