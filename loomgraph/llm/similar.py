@@ -91,7 +91,7 @@ def search_block(base: np.ndarray, queries: np.ndarray, k: int, floor: float, se
                 np.add(hits, inside.view(np.uint8), out=hits)
             limit = max(floor, 1 - radius * radius / 2) - 1e-12
             found = hits >= THRESHOLD
-            if np.count_nonzero(found) > 0.01 * found.size:  # many candidates are verified as one product
+            if np.count_nonzero(found) > 0.15 * found.size:  # many candidates are verified as one product
                 cos_all = np.where(found, queries[q] @ base.T, -2.0)
                 most = min(k + 1, cos_all.shape[1])
                 kth = np.partition(cos_all, cos_all.shape[1] - most, axis=1)[:, -most]
