@@ -62,13 +62,13 @@ fl(entry, node, depth) AS (SELECT id, id, 0 FROM ep UNION SELECT fl.entry, ca.ds
 
 @q("f10_flow_trace", _FLOWS + "SELECT entry, node, depth FROM fx", graph=True)
 def _(t, n, e):
-    return T.trace_flows(n, e, T.entry_points(n, e), depth=3)
+    return T.trace_flows(n, e, T.entry_points(n, e))
 
 
 @q("f12_criticality", _FLOWS + """, fa AS (SELECT n.id AS node, n.file_path, regexp_matches(lower(n.name) || ' ' || lower(n.qualified_name), '""" + "|".join(rules.SECURITY) + """')::int AS sec, coalesce(o.c, 0) AS o, (x.qn IS NOT NULL)::int AS t FROM n LEFT JOIN (SELECT source_qualified AS qn, count(*) AS c FROM e WHERE kind = 'CALLS' AND target_qualified IS NOT NULL AND target_qualified NOT IN (SELECT qualified_name FROM n) GROUP BY 1) o ON o.qn = n.qualified_name LEFT JOIN (SELECT DISTINCT source_qualified AS qn FROM e WHERE kind = 'TESTED_BY') x ON x.qn = n.qualified_name)
 SELECT entry, count(*) AS nodes, count(DISTINCT file_path) AS files, max(depth) AS depth, round(least(greatest(0.30::double * least((count(DISTINCT file_path) - 1) / 4.0::double, 1.0::double) + 0.20::double * least(sum(o) / 5.0::double, 1.0::double) + 0.25::double * (sum(sec) / count(*)) + 0.15::double * (1 - sum(t) / count(*)) + 0.10::double * least(max(depth) / 10.0::double, 1.0::double), 0), 1), 4) AS criticality FROM fx JOIN fa USING (node) GROUP BY 1""", graph=True)
 def _(t, n, e):
-    return T.criticality(n, e, T.trace_flows(n, e, T.entry_points(n, e), depth=3))
+    return T.criticality(n, e, T.trace_flows(n, e, T.entry_points(n, e)))
 
 
 @q("f11_flows_full_depth", graph=True)
