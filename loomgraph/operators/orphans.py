@@ -1,7 +1,7 @@
 """References to records that do not exist.
 
-A keyed state holds, for every parent, when it first and last arrived and when it was deleted, and every reference made so
-far. An increment brings new references, arriving parents and deletions; all parts of the state are mergeable (min, max,
+A keyed state holds, for every parent, when it arrived and when it was deleted, and every reference (of edges and of flow
+memberships) made so far. An increment brings new references, arriving parents and deletions; all parts of the state are mergeable (min, max,
 union), so increments may come in any order and one large increment equals many small ones:
 
 * a new reference probes the parent index and waits if its key is missing, deleted or only arrives later;
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.names import hash128, posix_name
@@ -39,27 +39,30 @@ def _us(c: str | Column) -> Column:
 
 @dataclass(frozen=True)
 class OrphanState:
-    """parents(id, k1, k2, first_seen, last_seen), graves(id, k1, k2, deleted_at), outside(k1, k2),
-    references(ref_table, row_id, row_key2, made, moment, s1, s2, t1, t2)."""
+    """parents(id, k1, k2, first_seen, last_seen, arrivals), graves(id, k1, k2, deleted_at, deletions), outside(k1, k2),
+    references(row_id, made, moment, s1, s2, t1, t2), members(row_id, node_id), flows(row_id, made); arrivals and deletions are
+    all distinct moments."""
 
     parents: DataFrame
     graves: DataFrame
     outside: DataFrame
     references: DataFrame
+    members: DataFrame | None = None
+    flows: DataFrame | None = None
 
 
 def parent_rows(nodes: DataFrame) -> DataFrame:
-    """Arrivals of parents, one row per record with its first and last moment."""
+    """Arrivals of parents, one row per record with its first and last moment and all moments."""
     k1, k2 = hash128(posix_name(F.col("qualified_name")))
     rows = nodes.select(F.col("id").cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), _us("ingested_at").alias("at"))
-    return rows.groupBy("id", "k1", "k2").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
+    return rows.groupBy("id", "k1", "k2").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.collect_set("at").alias("arrivals"))
 
 
 def grave_rows(tombstones: DataFrame) -> DataFrame:
-    """Deletions by id or by name, the latest of each."""
+    """Deletions by id or by name, the latest and all moments of each."""
     k1, k2 = hash128(posix_name(F.col("qualified_name")))
     rows = tombstones.select(F.col("node_id").cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), _us("deleted_at").alias("at"))
-    return rows.groupBy("id", "k1", "k2").agg(F.max("at").alias("deleted_at"))
+    return rows.groupBy("id", "k1", "k2").agg(F.max("at").alias("deleted_at"), F.collect_set("at").alias("deletions"))
 
 
 def outside_rows(external: DataFrame) -> DataFrame:
@@ -79,11 +82,19 @@ def edge_references(edges: DataFrame) -> DataFrame:
     return rows.groupBy("row_id").agg(*[F.min(c).alias(c) for c in ("made", "moment", "s1", "s2", "t1", "t2")])
 
 
+def flow_rows(flows: DataFrame) -> DataFrame:
+    """One row per flow with the moment it was created."""
+    return flows.groupBy(F.col("id").cast("long").alias("row_id")).agg(F.min(_us("created_at")).alias("made"))
+
+
+def member_rows(memberships: DataFrame) -> DataFrame:
+    """One row per (flow_id, node_id)."""
+    return memberships.where("flow_id is not null and node_id is not null").select(F.col("flow_id").cast("long").alias("row_id"), F.col("node_id").cast("long").alias("node_id")).distinct()
+
+
 def membership_references(memberships: DataFrame, flows: DataFrame) -> DataFrame:
     """One row per (flow_id, node_id); the reference was made when its flow was created."""
-    made = flows.groupBy(F.col("id").cast("long").alias("row_id")).agg(F.min(_us("created_at")).alias("made"))
-    pairs = memberships.where("flow_id is not null and node_id is not null").select(F.col("flow_id").cast("long").alias("row_id"), F.col("node_id").cast("long").alias("node_id")).distinct()
-    return pairs.join(made, "row_id", "left")
+    return member_rows(memberships).join(flow_rows(flows), "row_id", "left")
 
 
 def until_by_name(state: OrphanState) -> DataFrame:
@@ -112,16 +123,20 @@ def _with_graves(state: OrphanState) -> DataFrame:
     return p.withColumn("deleted_at", F.greatest("by_id", "by_name"))
 
 
+def _union(c: str) -> Column:
+    return F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+
+
 def merge_parents(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Arriving parents into the index."""
     if old is None:
         return new
-    return old.unionByName(new).groupBy("id", "k1", "k2").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return old.unionByName(new).groupBy("id", "k1", "k2").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), _union("arrivals"))
 
 
 def merge_graves(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Deletions into the index."""
-    return new if old is None else old.unionByName(new).groupBy("id", "k1", "k2").agg(F.max("deleted_at").alias("deleted_at"))
+    return new if old is None else old.unionByName(new).groupBy("id", "k1", "k2").agg(F.max("deleted_at").alias("deleted_at"), _union("deletions"))
 
 
 def merge_references(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -129,7 +144,17 @@ def merge_references(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if old is None else old.unionByName(new).groupBy("row_id").agg(*[F.min(c).alias(c) for c in ("made", "moment", "s1", "s2", "t1", "t2")])
 
 
-def advance(state: OrphanState | None, edges: DataFrame, nodes: DataFrame, tombstones: DataFrame, external: DataFrame) -> OrphanState:
+def merge_members(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """New memberships into the state."""
+    return new if old is None else old.unionByName(new).distinct()
+
+
+def merge_flows(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """New flows into the state; the earliest creation counts."""
+    return new if old is None else old.unionByName(new).groupBy("row_id").agg(F.min("made").alias("made"))
+
+
+def advance(state: OrphanState | None, edges: DataFrame, nodes: DataFrame, tombstones: DataFrame, external: DataFrame, memberships: DataFrame | None = None, flows: DataFrame | None = None) -> OrphanState:
     """Apply one increment: arrivals and deletions update the index, new references join those that wait. Written to the shared folder, so that the next increment reads tables and not a growing plan."""
     old = state or OrphanState(None, None, None, None)
     outside = outside_rows(external)
@@ -138,6 +163,8 @@ def advance(state: OrphanState | None, edges: DataFrame, nodes: DataFrame, tombs
         materialise(merge_graves(old.graves, grave_rows(tombstones)), "graves"),
         outside if old.outside is None else old.outside.unionByName(outside).distinct(),
         materialise(merge_references(old.references, edge_references(edges)), "references"),
+        old.members if memberships is None else materialise(merge_members(old.members, member_rows(memberships)), "members"),
+        old.flows if flows is None else materialise(merge_flows(old.flows, flow_rows(flows)), "flows"),
     )
 
 
@@ -150,12 +177,12 @@ def _both_ends(refs: DataFrame) -> DataFrame:
     return refs.select("row_id", "made", "moment", F.inline(ends)).where("k1 is not null")
 
 
-def waiting_keys(refs: DataFrame, until: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with at least one orphan and the moment until which their references are orphans. References are summarised per key first."""
+def waiting_keys(refs: DataFrame, until: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """Keys with at least one orphan and the moment until which their references are orphans, with further columns of until. References are summarised per key first."""
     asked = refs.groupBy(*keys).agg(F.min("made").alias("earliest"))
     known = until.withColumn("known", F.lit(True))
     joined = asked.join(known, keys, "left").withColumn("until", F.when(F.col("known").isNull(), F.lit(FOREVER)).otherwise(F.col("until")))
-    return joined.where((F.col("until") > F.col("earliest")) | ((F.col("until") == FOREVER) & F.col("earliest").isNull())).select(*keys, "until")
+    return joined.where((F.col("until") > F.col("earliest")) | ((F.col("until") == FOREVER) & F.col("earliest").isNull())).select(*keys, "until", *more)
 
 
 def open_references(refs: DataFrame, waiting: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,18 +216,50 @@ def orphan_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("ref_table", "ref_field", "period").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-def waiting_snapshots(state: OrphanState) -> DataFrame:
-    """(period, field, opened, resolved, waiting): at the end of each month, how many edge references have opened, how many
-    were resolved by a parent that arrived, and how many wait. A reference opens when made (missing or not yet arrived) or when
-    its parent is deleted; per-key sums are made before anything is shuffled by month."""
-    refs = _both_ends(state.references)
-    waiting = waiting_keys(refs, until_by_name(state), ["k1", "k2"])
-    hit = open_references(refs, waiting, ["k1", "k2"])
-    month = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM")
-    opened = hit.select("ref_field", month(F.col("made")).alias("period"), F.lit(1).alias("opened"), F.lit(0).alias("resolved"))
-    closed = hit.where(F.col("until") < FOREVER).select("ref_field", month(F.col("until")).alias("period"), F.lit(0).alias("opened"), F.lit(1).alias("resolved"))
-    per = opened.unionByName(closed).groupBy("ref_field", "period").agg(F.sum("opened").alias("opened"), F.sum("resolved").alias("resolved"))
-    from pyspark.sql import Window
+def absences(state: OrphanState, keys: list[str]) -> DataFrame:
+    """(keys, since, until): each time a known parent, by id or by name, is absent: from the start (since is null) to its arrival,
+    and from each deletion to the next arrival, else FOREVER. A deletion at the moment of an arrival wins. until is null for
+    names outside the store and for parents without a moment: these are always present."""
+    own = state.parents.where(f"{keys[0]} is not null")
+    arrived = own.select(*keys, F.explode("arrivals").alias("at"), F.lit(False).alias("gone"))
+    names = own.select("id", "k1", "k2").distinct()
+    by_id = state.graves.where("id is not null").select("id", F.explode("deletions").alias("at")).join(names, "id")
+    by_name = state.graves.where("k1 is not null").select("k1", "k2", F.explode("deletions").alias("at")).join(names, ["k1", "k2"])
+    deleted = by_id.select(*keys, "at").unionByName(by_name.select(*keys, "at")).withColumn("gone", F.lit(True))
+    moments = arrived.unionByName(deleted).groupBy(*keys, "at").agg(F.max("gone").alias("gone"), F.min("gone").alias("only"))
+    w = Window.partitionBy(*keys)  # the moments of one parent
+    first, gone = F.col("before").isNull(), F.col("gone")
+    flips = moments.withColumn("never", F.min("only").over(w)).withColumn("before", F.lag("gone").over(w.orderBy("at"))).where(~F.col("never") & (first | (F.col("before") != gone)))
+    gaps = flips.withColumn("next", F.lead("at").over(w.orderBy("at"))).where(first | gone)
+    out = gaps.select(*keys, F.when(~first, F.col("at")).alias("since"), F.when(first & ~gone, F.col("at")).otherwise(F.coalesce("next", F.lit(FOREVER))).alias("until"))
+    always = own.where("size(arrivals) = 0").select(*keys)
+    if "k1" in keys:
+        always = always.unionByName(state.outside.select(*keys))
+    never = F.lit(None).cast("long")
+    return out.unionByName(always.select(*keys, never.alias("since"), never.alias("until")))
+
 
+def waiting_snapshots(state: OrphanState) -> DataFrame:
+    """(period, ref_field, opened, reopened, resolved, waiting): in each month, how many references of edges and flow memberships
+    opened, how many of these were reopened by the deletion of their parent, how many were resolved by a parent that arrived, and
+    how many wait at its end. A reference opens when made while its parent is absent, and whenever its parent is deleted; one
+    made at an unknown moment counts in the period null if its parent is absent at last. Per-key sums are made before anything
+    is shuffled by month."""
+    ends = _both_ends(state.references)
+    hits = [open_references(ends, waiting_keys(ends, absences(state, ["k1", "k2"]), ["k1", "k2"], "since"), ["k1", "k2"])]
+    if state.members is not None and state.flows is not None:
+        refs = state.members.join(state.flows, "row_id", "left").select("row_id", F.col("node_id").alias("id"), "made", F.lit("node_id").alias("ref_field"))
+        hits.append(open_references(refs, waiting_keys(refs, absences(state, ["id"]), ["id"], "since"), ["id"]))
+    month = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM").alias("period")
+    count = lambda c, name: F.coalesce(c, F.lit(False)).cast("int").alias(name)
+    start = F.when(F.col("made").isNotNull(), F.greatest("made", "since"))
+    no, yes = F.lit(False), F.lit(True)
+    events = F.array(
+        F.struct(month(start), count(yes, "opened"), count(F.col("since") > F.col("made"), "reopened"), count(no, "resolved")),
+        F.struct(month(F.col("until")), count(no, "opened"), count(no, "reopened"), count(F.col("until") < FOREVER, "resolved")),
+    )
+    sums = [F.sum(c).alias(c) for c in ("opened", "reopened", "resolved")]
+    rows = [h.select("ref_field", F.inline(events)).where("opened + resolved > 0").groupBy("ref_field", "period").agg(*sums) for h in hits]
+    per = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
     w = Window.partitionBy("ref_field").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)  # a row per month
     return per.withColumn("waiting", F.sum(F.col("opened") - F.col("resolved")).over(w))

@@ -8,9 +8,9 @@ from loomgraph.operators import hotkeys, orphans
 from loomgraph.sources.tables import table
 
 
-def _state(spark: SparkSession, d: str) -> orphans.OrphanState:
+def _state(spark: SparkSession, d: str, *more: str) -> orphans.OrphanState:
     t = lambda n: table(spark, d, n)
-    return orphans.advance(None, t("edges"), t("nodes"), t("node_tombstones"), t("external_symbols"))
+    return orphans.advance(None, t("edges"), t("nodes"), t("node_tombstones"), t("external_symbols"), *map(t, more))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.waiting_snapshots(_state(spark, d))
+    return orphans.waiting_snapshots(_state(spark, d, "flow_memberships", "flows"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
