@@ -18,6 +18,11 @@ def path_of(c: Column) -> Column:
     return F.substring_index(c, "::", 1)
 
 
+def below_checkout(c: Column) -> Column:
+    """A path below its checkout, the third folder from the root; a path not so deep stays without its leading slash."""
+    return F.regexp_replace(c, r"^/(?:[^/]+/[^/]+/[^/]+/)?", "")
+
+
 def base_name(c: Column) -> Column:
     """The last path segment."""
     return F.substring_index(c, "/", -1)

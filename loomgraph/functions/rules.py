@@ -38,10 +38,24 @@ ENTRY_DECORATORS = [
 ]
 # Languages whose call edges may name each other's symbols.
 SCRIPT_FAMILY = ("javascript", "typescript", "tsx")
-# Paths that a build ignores or that hold declarations only.
-IGNORED_GLOBS = ["**/node_modules/**", "**/vendor/**", "**/dist/**", "**/build/**", "**/.git/**", "**/__pycache__/**", "**/.cache/**", "*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json", "yarn.lock", "*.d.ts", "*.d.mts", "*.d.cts"]
-# Names that callers never ask for.
-BUILTIN_CALLS = "map filter reduce forEach find some every includes indexOf push pop shift slice concat join sort reverse keys values entries from of trim split replace match search assign create is log warn error info debug assert clear count".split()
+# Paths that a build ignores; a leading slash anchors a pattern at the root of a checkout.
+IGNORED_GLOBS = [
+    "**/node_modules/**", "**/.git/**", "**/.svn/**", "**/__pycache__/**", "*.pyc", "**/.venv/**", "**/venv/**", "/dist/**", "/build/**", "/.next/**", "/.nuxt/**", "/target/**", "/bin/**", "/obj/**",
+    "**/vendor/**", "/storage/**", "/bootstrap/cache/**", "/public/build/**", "**/.bundle/**", "**/.gradle/**", "*.jar", "**/.dart_tool/**", "**/.pub-cache/**", "**/cdk.out/**", "/coverage/**", "**/.cache/**", "/.tmp/**", "/tmp/**",
+    "*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json", "yarn.lock", "*.db", "*.sqlite", "*.db-journal", "*.db-wal",
+]
+# Files that hold declarations only.
+DECLARATION_GLOBS = ["*.d.ts", "*.d.mts", "*.d.cts"]
+# Names of built-in functions, whose callers nobody asks for.
+BUILTIN_CALLS = """map filter reduce reduceRight forEach find findIndex some every includes indexOf lastIndexOf push pop shift unshift splice slice
+concat join flat flatMap sort reverse fill keys values entries from isArray of at trim trimStart trimEnd split replace replaceAll match matchAll search substring substr
+toLowerCase toUpperCase startsWith endsWith padStart padEnd repeat charAt charCodeAt assign freeze defineProperty getOwnPropertyNames hasOwnProperty create is fromEntries
+log warn error info debug trace dir table time timeEnd assert clear count then catch finally resolve reject all allSettled race any parse stringify
+floor ceil round random max min abs pow sqrt addEventListener removeEventListener querySelector querySelectorAll getElementById createElement appendChild removeChild
+setAttribute getAttribute preventDefault stopPropagation setTimeout clearTimeout setInterval clearInterval toString valueOf toJSON toISOString getTime getFullYear now
+isNaN parseInt parseFloat toFixed encodeURIComponent decodeURIComponent call apply bind next emit on off once pipe write read end close destroy send status json redirect
+set get delete has findUnique findFirst findMany createMany update updateMany deleteMany upsert aggregate groupBy transaction
+describe it test expect beforeEach afterEach beforeAll afterAll mock spyOn require fetch""".split()
 
 
 def any_of(patterns: list[str]) -> str:
@@ -50,20 +64,19 @@ def any_of(patterns: list[str]) -> str:
 
 
 def glob_regex(glob: str) -> str:
-    """An ignore glob as a regular expression over a relative path: **/x/** anywhere, /x/** at the root, else by whole path or name."""
-    def body(g: str) -> str:
-        return re.sub(r"\\\*\\\*|\\\*|\\\?", lambda m: {r"\*\*": ".*", r"\*": "[^/]*", r"\?": "[^/]"}[m.group()], re.escape(g))
-
+    """An ignore glob as a regular expression over a path below the root: **/x/** names a folder anywhere, /x/** a folder at the root, x/** a folder anywhere, a/b/** a folder at the root; any other pattern covers the whole path, and its star crosses slashes."""
     if glob.startswith("**/") and glob.endswith("/**"):
-        return rf"(?:^|/){body(glob[3:-3])}/"
-    if glob.startswith("/"):
-        return rf"^{body(glob[1:])}"
-    return rf"(?:^|/){body(glob)}$"
+        return rf"(?:^|/){re.escape(glob[3:-3])}(?:/|$)"
+    if glob.endswith("/**"):
+        folder = glob[:-3].strip("/")
+        start = "^" if glob.startswith("/") or "/" in folder else "(?:^|/)"
+        return rf"{start}{re.escape(folder)}(?:/|$)"
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob.lstrip("/")) + "$"
 
 
 def ignored(path: Column, globs: list[str] | None = None) -> Column:
-    """Whether a relative path matches one of the ignore globs."""
-    return path.rlike("|".join(glob_regex(g) for g in (IGNORED_GLOBS if globs is None else globs)))
+    """Whether a path below its root matches one of the ignore globs, those of declaration files among them."""
+    return path.rlike("|".join(glob_regex(g) for g in (IGNORED_GLOBS + DECLARATION_GLOBS if globs is None else globs)))
 
 
 def language_family(language: Column) -> Column:

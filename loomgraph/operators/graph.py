@@ -21,8 +21,9 @@ def latest_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:
-    """One row per edge id, endpoints with slashes."""
-    e = edges.drop("ingested_at").dropDuplicates(["id"])
+    """One row per edge id, endpoints with slashes; rows without an id are told apart by all their values."""
+    e = edges.drop("ingested_at")
+    e = e.where("id is not null").dropDuplicates(["id"]).unionByName(e.where("id is null").distinct())
     return e.withColumns({"source_qualified": posix_name(F.col("source_qualified")), "target_qualified": posix_name(F.col("target_qualified"))})
 
 

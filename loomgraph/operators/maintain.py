@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import materialise
+
 
 def replace_files(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of some files replaced as a whole: their old rows go, whatever they were."""
@@ -48,10 +50,16 @@ def relativise(path: Column, root: str) -> Column:
     return F.regexp_replace(path, "^" + root.rstrip("/") + "/", "")
 
 
-def fits(df: DataFrame, order: list[str], text: str, budget: int, limit: int = 10_000) -> DataFrame:
-    """The longest prefix in an order whose texts fit a token budget (four characters a token); of the first `limit` rows, which a budget of as many tokens cannot exceed."""
-    from pyspark.sql import Window
+def fits(df: DataFrame, order: list[str], text: str, budget: int) -> DataFrame:
+    """(..., used): the longest prefix in an order whose texts fit a token budget (four characters a token, at least one).
 
-    cost = F.greatest(F.ceil(F.length(text) / 4.0), F.lit(1))
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over at most `limit` rows
-    return df.orderBy(*order).limit(min(limit, budget)).withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+    Each text costs a token or more, so that the prefix lies within the first `budget` rows. Costs are summed in two levels: per
+    range of the sorted rows, then within a range, so that no task holds more than a range, whatever the budget."""
+    cost = F.greatest(F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4.0), F.lit(1))
+    first = df.orderBy(*order).limit(budget).withColumn("_cost", cost).repartitionByRange(*order)
+    parts = materialise(first.withColumn("_part", F.spark_partition_id()), "prefix")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = parts.groupBy("_part").agg(F.sum("_cost").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    used = parts.join(F.broadcast(base), "_part").withColumn("used", F.col("_base") + F.sum("_cost").over(w))
+    return used.where(F.col("used") <= budget).drop("_part", "_base", "_cost")

@@ -88,8 +88,12 @@ def memory_filter(o: DataFrame, project: str | None = None, kinds: list[str] | N
     return o
 
 
-def structural_summary(o: DataFrame, k: int = 40) -> DataFrame:
-    """(session, summary): the first lines of a session's first k rows, in order."""
+def structural_summary(o: DataFrame) -> DataFrame:
+    """(session, summary): every prompt of a session by the title of its text, numbered, in order; sessions without a prompt have none.
+
+    The lines of a session are one text, so they meet in one row; only titles of at most TITLE characters travel."""
     w = Window.partitionBy("session").orderBy("created_at", "id")
-    t = o.where("session is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    return t.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("r", F.substring("title", 1, 80).alias("t")))).alias("ts")).select("session", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("summary"))
+    line = title_for(F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("body"), F.lit("")))
+    t = o.where("session is not null and lower(trim(kind)) = 'prompt'").select("session", "created_at", "id", line.alias("line")).withColumn("r", F.row_number().over(w))
+    lines = F.array_sort(F.collect_list(F.struct("r", F.concat(F.col("r").cast("string"), F.lit(". "), F.col("line")).alias("t"))))
+    return t.groupBy("session").agg(lines.alias("ts")).select("session", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("summary"))

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 
-LINES = 1000
-
 
 def _lines(e: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct call lines per pair and file, as an ordered list."""

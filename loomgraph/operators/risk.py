@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
+from loomgraph.functions.names import below_checkout
 
 # Methods that frameworks call around tests, exempt from test gaps.
 LIFECYCLE = "setUp tearDown setUpClass tearDownClass setup_method teardown_method setup teardown __init__ __enter__ __exit__ constructor".split()
@@ -47,7 +48,7 @@ def test_gaps(n: DataFrame, e: DataFrame) -> DataFrame:
 def large_functions(n: DataFrame, least: int = 20, limit: int = 20) -> DataFrame:
     """The longest functions, ignored and declaration files aside, with the number of all that match (a top-k report)."""
     lines = F.col("line_end") - F.col("line_start") + 1
-    hit = n.where("kind in ('Function', 'Test', 'Class')").where(~rules.ignored(F.col("file_path"))).select("qualified_name", "kind", lines.alias("lines")).where(F.col("lines") >= least)
+    hit = n.where("kind in ('Function', 'Test', 'Class')").where(~rules.ignored(below_checkout(F.col("file_path")))).select("qualified_name", "kind", lines.alias("lines")).where(F.col("lines") >= least)
     total = hit.agg(F.count(F.lit(1)).alias("matching"))
     return hit.orderBy(F.desc("lines"), "qualified_name").limit(limit).join(F.broadcast(total))  # a single row
 

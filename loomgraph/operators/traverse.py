@@ -6,7 +6,11 @@ plans do not grow and a lost executor costs one hop. Nodes travel as 64-bit ids
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
@@ -14,6 +18,12 @@ from loomgraph.functions.names import path_of
 from loomgraph.session import materialise
 
 DECAY, FLOOR, IMPACT_DEPTH, FLOW_DEPTH = 0.6, 0.05, 2, 15
+#: Entry points whose flows share a row: eight words of 64 bits.
+WORDS = 8
+BLOCK_BITS = 64 * WORDS
+#: Pairs of caller and callee up to this number are sent to the tasks (12 bytes each, at most 24 MB).
+BROADCAST_CALLS = 2_000_000
+_ANY = " | ".join(f"n{i}" for i in range(WORDS)) + " <> 0"
 
 
 def impact_edges(e: DataFrame) -> DataFrame:
@@ -101,39 +111,146 @@ def call_ids(n: DataFrame, e: DataFrame) -> DataFrame:
     return c.join(s, "source_qualified").join(t, "target_qualified").select("src", "dst").distinct()
 
 
-def trace_flows(n: DataFrame, e: DataFrame, entries: DataFrame, depth: int = FLOW_DEPTH) -> DataFrame:
-    """(entry, node, depth): everything each entry point reaches over calls, at its least depth; flows of one node are dropped.
+def _number(entries: DataFrame) -> DataFrame:
+    """(entry, block, bit): entries in blocks of BLOCK_BITS, those of one folder next to each other, so that the flows of a block share most nodes. A range of the sorted entries begins its own block."""
+    once = materialise(entries.select(F.col("id").alias("entry"), "file_path").distinct(), "entries")  # ranges are sampled from it
+    ranged = once.repartitionByRange("file_path", "entry").sortWithinPartitions("file_path", "entry")
+    at = ranged.withColumn("at", F.monotonically_increasing_id())  # the range in the upper 31 bits, the row in the lower 33
+    return materialise(at.selectExpr("entry", f"shiftright(at, {BLOCK_BITS.bit_length() - 1}) AS block", f"cast(at & {BLOCK_BITS - 1} AS int) AS bit"), "numbers")
+
+
+def _words(form: str) -> list[str]:
+    """An expression for each word of a bit set."""
+    return [form.format(i=i) for i in range(WORDS)]
 
-    All flows take a hop together; the state is one row per (flow, node)."""
+
+def flow_bits(n: DataFrame, e: DataFrame, entries: DataFrame, depth: int = FLOW_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(numbers, reach): numbers(entry, block, bit), and reach(block, node, depth, n0..): bit sets of the entries of a block that reach
+    the node over calls first at this depth.
+
+    Up to BROADCAST_CALLS pairs of caller and callee are sent to the tasks, which walk a block each; beyond that all flows take a
+    hop together, as joins. Both give the same rows."""
     calls = materialise(call_ids(n, e), "calls")
-    front = materialise(entries.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.lit(0).alias("depth")), "flow")
-    levels = [front]
-    for k in range(1, depth + 1):
-        step = front.join(calls, F.col("node") == F.col("src")).select("entry", F.col("dst").alias("node")).distinct()
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.unionByName(x)
-        front = materialise(step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").withColumn("depth", F.lit(k)), "flow")
-        if front.limit(1).count() == 0:
+    numbers = _number(entries)
+    return numbers, (_walk_blocks if calls.count() <= BROADCAST_CALLS else _walk_joins)(calls, numbers, depth)
+
+
+def _walk_joins(calls: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
+    """The state is a row per node and block of entries, not per pair; a hop is one join of the rows that changed and one
+    aggregation by bit_or, which combines before the shuffle, so that a hub is no heavy key."""
+    own = _words("bit_or(CASE WHEN bit div 64 = {i} THEN shiftleft(1L, cast(bit % 64 AS int)) ELSE 0L END) AS w{i}")
+    start = numbers.groupBy("block", F.col("entry").alias("node")).agg(*map(F.expr, own))
+    levels = [materialise(start.selectExpr("block", "node", *_words("w{i}"), *_words("w{i} AS n{i}")), "flow")]
+    for _ in range(depth):
+        seen = levels[-1]
+        front = seen.where(_ANY).selectExpr("block", "node AS src", *_words("n{i}"))
+        hop = front.join(calls, "src").groupBy("block", F.col("dst").alias("node")).agg(*map(F.expr, _words("bit_or(n{i}) AS h{i}")))
+        both = seen.select("block", "node", *_words("w{i}")).join(hop, ["block", "node"], "full")
+        step = both.selectExpr("block", "node", *_words("coalesce(w{i}, 0L) | coalesce(h{i}, 0L) AS w{i}"), *_words("coalesce(h{i}, 0L) & ~coalesce(w{i}, 0L) AS n{i}"))
+        fresh = Observation()  # counted while the level is written
+        nxt = materialise(step.observe(fresh, F.count(F.when(F.expr(_ANY), 1)).alias("rows")), "flow")
+        if not fresh.get["rows"]:
             break
-        levels.append(front)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    more = every.where("depth > 0").select("entry").distinct()
-    return every.join(more, "entry", "left_semi")
+        levels.append(nxt)
+    return _stack([x.where(_ANY).select("block", "node", F.lit(k).alias("depth"), *_words("n{i}")) for k, x in enumerate(levels)])
+
+
+def _walk_blocks(calls: DataFrame, numbers: DataFrame, depth: int) -> DataFrame:
+    """One task per block walks its entries over the calls, which are shared as sorted arrays: a hop is a gather and an OR per callee."""
+    pairs = calls.toPandas()  # at most BROADCAST_CALLS
+    ids = np.unique(np.concatenate([pairs["src"].to_numpy(np.int64), pairs["dst"].to_numpy(np.int64)]))
+    order = np.argsort(pairs["dst"].to_numpy(), kind="stable")
+    shared = calls.sparkSession.sparkContext.broadcast((ids, np.searchsorted(ids, pairs["src"].to_numpy()[order]).astype(np.int32), np.searchsorted(ids, pairs["dst"].to_numpy()[order]).astype(np.int32)))
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        known, src, dst = shared.value
+        nodes = np.union1d(known, g["entry"].to_numpy(np.int64)) if len(np.setdiff1d(g["entry"], known)) else known
+        if nodes is not known:
+            at = np.searchsorted(nodes, known).astype(np.int32)
+            src, dst = at[src], at[dst]
+        seen = np.zeros((len(nodes), WORDS), np.uint64)
+        bit = g["bit"].to_numpy(np.int64)
+        np.bitwise_or.at(seen, (np.searchsorted(nodes, g["entry"].to_numpy(np.int64)), bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+        front, out = seen.copy(), []
+        for k in range(depth + 1):
+            rows = np.flatnonzero(front.any(axis=1))
+            if not len(rows):
+                break
+            out.append((nodes[rows], np.full(len(rows), k, np.int32), front[rows].view(np.int64)))
+            if k == depth:
+                break
+            live = np.zeros(len(nodes), bool)
+            live[rows] = True
+            use = np.flatnonzero(live[src])
+            hop = np.zeros_like(front)
+            if len(use):
+                d = dst[use]
+                first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                hop[d[first]] = np.bitwise_or.reduceat(front[src[use]], first, axis=0)
+            front = hop & ~seen
+            seen |= front
+        bits = np.concatenate([x[2] for x in out])
+        return pd.DataFrame({"block": g["block"].iloc[0], "node": np.concatenate([x[0] for x in out]), "depth": np.concatenate([x[1] for x in out]), **{f"n{i}": bits[:, i] for i in range(WORDS)}})
+
+    return materialise(numbers.groupBy("block").applyInPandas(walk, "block bigint, node bigint, depth int, " + ", ".join(_words("n{i} bigint"))), "flow")  # BLOCK_BITS rows a group
+
+
+def _explode(bits: DataFrame, numbers: DataFrame, *more: str) -> DataFrame:
+    """One row per set bit of n0..: (entry, node, more)."""
+    w = bits.select("block", "node", *more, F.posexplode(F.array(*_words("n{i}"))).alias("word", "value")).where("value <> 0")
+    b = w.select("block", "node", *more, "word", F.expr("explode(filter(sequence(0, 63), k -> value & shiftleft(1L, k) <> 0L))").alias("k"))
+    return b.withColumn("bit", F.expr("cast(word * 64 + k AS int)")).join(numbers, ["block", "bit"]).select("entry", "node", *more)
+
+
+def trace_flows(n: DataFrame, e: DataFrame, entries: DataFrame, depth: int = FLOW_DEPTH) -> DataFrame:
+    """(entry, node, depth): everything each entry point reaches over calls, at its least depth; flows of one node are dropped.
+
+    The result is a row per pair; the trace itself keeps bit sets (flow_bits)."""
+    numbers, reach = flow_bits(n, e, entries, depth)
+    more = reach.where("depth > 0").groupBy("block").agg(*map(F.expr, _words("bit_or(n{i}) AS m{i}")))  # entries of more than one node
+    return _explode(reach.join(more, "block").selectExpr("block", "node", "depth", *_words("n{i} & m{i} AS n{i}")), numbers, "depth")
+
+
+def _stack(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _bit_sums(rows: DataFrame, facts: list[str]) -> DataFrame:
+    """(block, bit, facts): sums of the facts of the rows whose set w0.. holds each bit, as one product per batch and block."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, g in b.groupby("block", sort=False):
+                words = np.ascontiguousarray(g[_words("w{i}")].to_numpy(np.int64)).view(np.uint8)
+                x = np.unpackbits(words, axis=1, bitorder="little").astype(np.float64)
+                total = g[facts].to_numpy(np.float64).T @ x
+                at = np.flatnonzero(x.any(axis=0))
+                yield pd.DataFrame({"block": block, "bit": at.astype(np.int32), **{f: total[i, at].astype(np.int64) for i, f in enumerate(facts)}})
+
+    part = rows.sortWithinPartitions("block").mapInPandas(add, "block bigint, bit int, " + ", ".join(f"{f} bigint" for f in facts))
+    return part.groupBy("block", "bit").agg(*[F.sum(f).alias(f) for f in facts])
+
 
+def criticality(n: DataFrame, e: DataFrame, entries: DataFrame, depth: int = FLOW_DEPTH) -> DataFrame:
+    """(entry, nodes, files, depth, criticality) of the flow of each entry point: spread over files .30, calls outside .20, security .25, missing tests .15, depth .10; flows of one node are dropped.
 
-def criticality(n: DataFrame, e: DataFrame, flows: DataFrame) -> DataFrame:
-    """(entry, nodes, files, depth, criticality): spread over files .30, calls outside .20, security .25, missing tests .15, depth .10."""
+    Sums are taken over bit sets: pairs of entry and node are never written out."""
+    numbers, reach = flow_bits(n, e, entries, depth)
     known = n.select(F.col("qualified_name").alias("target_qualified"))
     outside = e.where("kind = 'CALLS' and target_qualified is not null").join(known, "target_qualified", "left_anti").groupBy(F.col("source_qualified").alias("qualified_name")).agg(F.count(F.lit(1)).alias("outside"))
     tested = e.where("kind = 'TESTED_BY' and source_qualified is not null").select(F.col("source_qualified").alias("qualified_name"), F.lit(1).alias("tested")).distinct()
-    facts = n.select(F.col("id").alias("node"), "qualified_name", "file_path", rules.security(F.col("name"), F.col("qualified_name")).cast("int").alias("sec"))
-    facts = facts.join(outside, "qualified_name", "left").join(tested, "qualified_name", "left").select("node", "file_path", "sec", F.coalesce("outside", F.lit(0)).alias("outside"), F.coalesce("tested", F.lit(0)).alias("tested"))
-    j = flows.join(facts, "node")
-    per_file = j.groupBy("entry", "file_path").agg(F.count(F.lit(1)).alias("n"), F.sum("outside").alias("o"), F.sum("sec").alias("s"), F.sum("tested").alias("t"), F.max("depth").alias("d"))
-    g = per_file.groupBy("entry").agg(F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("files"), F.sum("o").alias("o"), F.sum("s").alias("s"), F.sum("t").alias("t"), F.max("d").alias("depth"))
+    facts = n.select(F.col("id").alias("node"), "qualified_name", "file_path", rules.security(F.col("name"), F.col("qualified_name")).cast("int").alias("s"))
+    facts = facts.join(outside, "qualified_name", "left").join(tested, "qualified_name", "left").select("node", F.xxhash64("file_path").alias("file"), "s", F.coalesce("outside", F.lit(0)).alias("o"), F.coalesce("tested", F.lit(0)).alias("t"))
+    seen = reach.groupBy("block", "node").agg(*map(F.expr, _words("bit_or(n{i}) AS w{i}")))
+    j = materialise(seen.join(facts, "node").withColumn("nodes", F.lit(1)), "facts")
+    sums = _bit_sums(j.drop("node", "file"), ["nodes", "o", "s", "t"])
+    files = _bit_sums(j.groupBy("block", "file").agg(*map(F.expr, _words("bit_or(w{i}) AS w{i}"))).withColumn("files", F.lit(1)), ["files"])
+    deep = reach.groupBy("block", F.col("depth").alias("node")).agg(*map(F.expr, _words("bit_or(n{i}) AS n{i}")))
+    deepest = _explode(deep, numbers).groupBy("entry").agg(F.max("node").alias("depth")).where("depth > 0")  # at most `depth` rows an entry
+    g = numbers.join(sums, ["block", "bit"]).join(files, ["block", "bit"]).join(deepest, "entry")
     one = F.lit(1.0)
     score = F.lit(0.30) * F.least((F.col("files") - 1) / F.lit(4.0), one) + F.lit(0.20) * F.least(F.col("o") / F.lit(5.0), one) + F.lit(0.25) * (F.col("s") / F.col("nodes")) + F.lit(0.15) * (1 - F.col("t") / F.col("nodes")) + F.lit(0.10) * F.least(F.col("depth") / F.lit(10.0), one)
     return g.select("entry", "nodes", "files", "depth", F.round(F.least(F.greatest(score, F.lit(0.0)), one), 4).alias("criticality"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
+from loomgraph.functions.names import below_checkout
 from loomgraph.operators import graph as G
 from loomgraph.operators import patterns as P
-from loomgraph.plans.registry import Registry
+from loomgraph.plans.registry import IGNORED_SQL, Registry
 
 R = Registry()
 q = R.add
@@ -89,9 +90,9 @@ def _(t, n, e):
     return n.where("language is not null").select("language").distinct().withColumn("present", F.lit(True))
 
 
-@q("b26_ignored_files", "SELECT DISTINCT file_path FROM n WHERE kind = 'File' AND regexp_matches(file_path, '(^|/)(node_modules|vendor|dist|build|\\.git|__pycache__|\\.cache)/|\\.min\\.js$|\\.min\\.css$|\\.map$|\\.lock$|(^|/)package-lock\\.json$|(^|/)yarn\\.lock$|\\.d\\.(ts|mts|cts)$')", graph=True)
+@q("b26_ignored_files", f"SELECT DISTINCT file_path FROM n WHERE kind = 'File' AND {IGNORED_SQL}", graph=True)
 def _(t, n, e):
-    return n.where("kind = 'File'").where(rules.ignored(F.col("file_path"))).select("file_path").distinct()
+    return n.where("kind = 'File'").where(rules.ignored(below_checkout(F.col("file_path")))).select("file_path").distinct()
 
 
 @q("b27_framework_decorators", "SELECT qualified_name FROM n WHERE regexp_matches(extra, '\"decorators\": \\[.*(receiver|api_view|[Tt]ask|[Cc]omponent|[Mm]odule|[Qq]uery|[Ii]nject|\\w\\.route|\\w\\.command)') AND json_valid(extra)", graph=True)

@@ -63,7 +63,7 @@ def _(t):
     return _obs(t).where("session is not null").groupBy("project").agg(F.max_by("session", F.struct("created_at", "id")).alias("session"))
 
 
-@q("n15_structural_summary", _O + "SELECT session, string_agg(substr(title, 1, 80), chr(10) ORDER BY r) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY created_at, id) AS r FROM o WHERE session IS NOT NULL) WHERE r <= 40 GROUP BY 1")
+@q("n15_structural_summary", _O + ", p AS (SELECT session, created_at, id, trim(regexp_extract(CASE WHEN coalesce(title, '') <> '' THEN title ELSE coalesce(body, '') END, '(?m)^[ \\t]*(\\S[^\\n]*)$', 1)) AS l FROM o WHERE session IS NOT NULL AND lower(trim(kind)) = 'prompt'), x AS (SELECT session, CASE WHEN length(l) > 120 THEN substr(l, 1, 119) || '…' ELSE l END AS l, row_number() OVER (PARTITION BY session ORDER BY created_at, id) AS r FROM p) SELECT session, string_agg(r || '. ' || l, chr(10) ORDER BY r) AS summary FROM x GROUP BY 1")
 def _(t):
     return M.structural_summary(_obs(t))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.functions import rules
 from loomgraph.operators.graph import latest_nodes, unique_edges
 from loomgraph.sources.tables import table
 
@@ -37,6 +38,8 @@ class Registry:
         return wrap
 
 
+#: Whether a path below its checkout is ignored, in SQL.
+IGNORED_SQL = "regexp_matches(regexp_replace(file_path, '^/(?:[^/]+/[^/]+/[^/]+/)?', ''), '" + "|".join(rules.glob_regex(g) for g in rules.IGNORED_GLOBS + rules.DECLARATION_GLOBS) + "')"
 _POSIX = "CASE WHEN instr({0}, '::') > 0 THEN replace(substr({0}, 1, instr({0}, '::') - 1), '\\', '/') || substr({0}, instr({0}, '::')) ELSE replace({0}, '\\', '/') END"
 #: The canonical graph in SQL: n and e.
 GRAPH_SQL = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name ORDER BY ingested_at DESC, updated_at DESC, id DESC) AS rn FROM nodes) WHERE rn = 1),

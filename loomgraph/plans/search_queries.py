@@ -10,7 +10,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import risk as K
 from loomgraph.operators import search as S
 from loomgraph.operators import traverse as T
-from loomgraph.plans.registry import Registry
+from loomgraph.plans.registry import IGNORED_SQL, Registry
 from loomgraph.plans.structure_queries import _DIR
 
 R = Registry()
@@ -143,7 +143,7 @@ def _(t, n, e):
     return K.test_gaps(n, e)
 
 
-@q("k9_large_functions", ", h AS (SELECT qualified_name, kind, line_end - line_start + 1 AS lines FROM n WHERE kind IN ('Function', 'Test', 'Class') AND line_end - line_start + 1 >= 20 AND NOT regexp_matches(file_path, '(^|/)(node_modules|vendor|dist|build|\\.git|__pycache__|\\.cache)/|\\.min\\.js$|\\.min\\.css$|\\.map$|\\.lock$|\\.d\\.(ts|mts|cts)$')) SELECT *, (SELECT count(*) FROM h) AS matching FROM h ORDER BY lines DESC, qualified_name LIMIT 20", graph=True)
+@q("k9_large_functions", ", h AS (SELECT qualified_name, kind, line_end - line_start + 1 AS lines FROM n WHERE kind IN ('Function', 'Test', 'Class') AND line_end - line_start + 1 >= 20 AND NOT " + IGNORED_SQL + ") SELECT *, (SELECT count(*) FROM h) AS matching FROM h ORDER BY lines DESC, qualified_name LIMIT 20", graph=True)
 def _(t, n, e):
     return K.large_functions(n)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
@@ -57,7 +58,7 @@ def _(t, n, e):
 
 
 _FLOWS = _ENTRY + """, ca AS (SELECT DISTINCT s.id AS src, d.id AS dst FROM e JOIN n s ON s.qualified_name = e.source_qualified JOIN n d ON d.qualified_name = e.target_qualified AND d.kind IN ('Function', 'Test', 'Class') WHERE e.kind = 'CALLS'),
-fl(entry, node, depth) AS (SELECT id, id, 0 FROM ep UNION SELECT fl.entry, ca.dst, fl.depth + 1 FROM fl JOIN ca ON ca.src = fl.node WHERE fl.depth < 3), fm AS (SELECT entry, node, min(depth) AS depth FROM fl GROUP BY 1, 2), fx AS (SELECT * FROM fm WHERE entry IN (SELECT entry FROM fm WHERE depth > 0)) """
+fl(entry, node, depth) AS (SELECT id, id, 0 FROM ep UNION SELECT fl.entry, ca.dst, fl.depth + 1 FROM fl JOIN ca ON ca.src = fl.node WHERE fl.depth < 15), fm AS (SELECT entry, node, min(depth) AS depth FROM fl GROUP BY 1, 2), fx AS (SELECT * FROM fm WHERE entry IN (SELECT entry FROM fm WHERE depth > 0)) """
 
 
 @q("f10_flow_trace", _FLOWS + "SELECT entry, node, depth FROM fx", graph=True)
@@ -65,16 +66,20 @@ def _(t, n, e):
     return T.trace_flows(n, e, T.entry_points(n, e))
 
 
-@q("f12_criticality", _FLOWS + """, fa AS (SELECT n.id AS node, n.file_path, regexp_matches(lower(n.name) || ' ' || lower(n.qualified_name), '""" + "|".join(rules.SECURITY) + """')::int AS sec, coalesce(o.c, 0) AS o, (x.qn IS NOT NULL)::int AS t FROM n LEFT JOIN (SELECT source_qualified AS qn, count(*) AS c FROM e WHERE kind = 'CALLS' AND target_qualified IS NOT NULL AND target_qualified NOT IN (SELECT qualified_name FROM n) GROUP BY 1) o ON o.qn = n.qualified_name LEFT JOIN (SELECT DISTINCT source_qualified AS qn FROM e WHERE kind = 'TESTED_BY') x ON x.qn = n.qualified_name)
-SELECT entry, count(*) AS nodes, count(DISTINCT file_path) AS files, max(depth) AS depth, round(least(greatest(0.30::double * least((count(DISTINCT file_path) - 1) / 4.0::double, 1.0::double) + 0.20::double * least(sum(o) / 5.0::double, 1.0::double) + 0.25::double * (sum(sec) / count(*)) + 0.15::double * (1 - sum(t) / count(*)) + 0.10::double * least(max(depth) / 10.0::double, 1.0::double), 0), 1), 4) AS criticality FROM fx JOIN fa USING (node) GROUP BY 1""", graph=True)
+_CRITICALITY = _FLOWS + """, fa AS (SELECT n.id AS node, n.file_path, regexp_matches(lower(n.name) || ' ' || lower(n.qualified_name), '""" + "|".join(rules.SECURITY) + """')::int AS sec, coalesce(o.c, 0) AS o, (x.qn IS NOT NULL)::int AS t FROM n LEFT JOIN (SELECT source_qualified AS qn, count(*) AS c FROM e WHERE kind = 'CALLS' AND target_qualified IS NOT NULL AND target_qualified NOT IN (SELECT qualified_name FROM n) GROUP BY 1) o ON o.qn = n.qualified_name LEFT JOIN (SELECT DISTINCT source_qualified AS qn FROM e WHERE kind = 'TESTED_BY') x ON x.qn = n.qualified_name)
+SELECT entry, count(*) AS nodes, count(DISTINCT file_path) AS files, max(depth) AS depth, round(least(greatest(0.30::double * least((count(DISTINCT file_path) - 1) / 4.0::double, 1.0::double) + 0.20::double * least(sum(o) / 5.0::double, 1.0::double) + 0.25::double * (sum(sec) / count(*)) + 0.15::double * (1 - sum(t) / count(*)) + 0.10::double * least(max(depth) / 10.0::double, 1.0::double), 0), 1), 4) AS criticality FROM fx JOIN fa USING (node) GROUP BY 1"""
+
+
+@q("f12_criticality", _CRITICALITY, graph=True)
 def _(t, n, e):
-    return T.criticality(n, e, T.trace_flows(n, e, T.entry_points(n, e)))
+    return T.criticality(n, e, T.entry_points(n, e))
 
 
-@q("f11_flows_full_depth", graph=True)
+@q("f11_flows_ranked", _CRITICALITY.replace("\nSELECT entry", ", cx AS (SELECT entry") + ") SELECT *, row_number() OVER (ORDER BY criticality DESC, entry) AS place FROM cx QUALIFY place <= 50", graph=True)
 def _(t, n, e):
-    """Flows to the full depth, ranked by criticality."""
-    return T.criticality(n, e, T.trace_flows(n, e, T.entry_points(n, e))).orderBy(F.desc("criticality"), "entry")
+    """The most critical flows (a top-k report)."""
+    top = T.criticality(n, e, T.entry_points(n, e)).orderBy(F.desc("criticality"), "entry").limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("criticality"), "entry")))  # fifty rows
 
 
 @q("f14_dependents", """, li AS (SELECT DISTINCT string_split(target_qualified, '::')[1] AS file, file_path AS dependent FROM e WHERE coalesce(kind, '') <> 'CONTAINS' AND string_split(target_qualified, '::')[1] <> file_path AND string_split(target_qualified, '::')[1] IN (SELECT file_path FROM n WHERE kind = 'File'))

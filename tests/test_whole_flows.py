@@ -3,14 +3,20 @@
 import random
 from datetime import datetime as D
 
+import pytest
+
 import __spark_entry__ as entry
+from loomgraph.operators import traverse
 
 N = "id bigint, kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, params string, return_type string, is_test boolean, extra string, updated_at timestamp, ingested_at timestamp"
 E = "id bigint, kind string, source_qualified string, target_qualified string, file_path string, line int, extra string, confidence double, confidence_tier string, updated_at timestamp, ingested_at timestamp"
 NOW = D(2025, 1, 1)
 
 
-def test_flows_to_the_full_depth(spark, tmp_path):
+@pytest.mark.parametrize("shared", [True, False])
+def test_flows_to_the_full_depth(spark, tmp_path, monkeypatch, shared):
+    if not shared:  # hops as joins
+        monkeypatch.setattr(traverse, "BROADCAST_CALLS", 0)
     rng = random.Random(4)
     name = lambda i: f"/m{i}::f{i}"
     calls = {(i, i + 1) for i in range(25)} | {(30, 31), (31, 0), (31, 7), (12, 3)} | {(rng.randrange(40, 60), rng.randrange(40, 60)) for _ in range(24)}
