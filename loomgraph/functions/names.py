@@ -10,7 +10,14 @@ def posix_name(c: Column) -> Column:
     """Read a backslash as a slash in the part before the first '::'; null stays null."""
     at = F.instr(c, "::")
     split = F.when(at > 0, at - 1).otherwise(F.length(c))
-    return F.concat(F.translate(F.substring(c, F.lit(1), split), "\\", "/"), F.substring(c, split + 1, F.length(c)))
+    read = F.concat(F.translate(F.substring(c, F.lit(1), split), "\\", "/"), F.substring(c, split + 1, F.length(c)))
+    return F.when(F.contains(c, F.lit("\\")), read).otherwise(c)  # few names hold a backslash
+
+
+def name_key(c: Column) -> tuple[Column, Column]:
+    """The two hashes of a name as posix_name reads it."""
+    name = posix_name(c)
+    return F.when(c.isNotNull(), F.xxhash64(name)), F.when(c.isNotNull(), F.xxhash64(F.lit("second"), name))
 
 
 def path_of(c: Column) -> Column:

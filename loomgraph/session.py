@@ -37,14 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df once into the shared folder and read it back.
+def materialise(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """Write df once into the shared folder, in folders by a column if one is given, and read it back.
 
     It cuts the lineage, survives the loss of executors, and is computed once (checkpoint() computes its last stage twice).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -66,12 +66,12 @@ def upsert_batches(key: str, order: str, write: Callable[[DataFrame, int], None]
 
 
 class OrphanStream:
-    """Pending orphans over increments: each micro-batch of edges, nodes, deletions and flow memberships advances the keyed state."""
+    """Pending orphans over increments: each micro-batch of edges, nodes, deletions and flow memberships advances the keyed state, which reads the buckets of the keys it touches; a table that brings nothing may be None."""
 
     def __init__(self) -> None:
         self.state = None
 
-    def __call__(self, edges: DataFrame, nodes: DataFrame, tombstones: DataFrame, external: DataFrame, memberships: DataFrame | None = None, flows: DataFrame | None = None) -> None:
+    def __call__(self, edges: DataFrame | None = None, nodes: DataFrame | None = None, tombstones: DataFrame | None = None, external: DataFrame | None = None, memberships: DataFrame | None = None, flows: DataFrame | None = None) -> None:
         from loomgraph.operators.orphans import advance
 
         self.state = advance(self.state, edges, nodes, tombstones, external, memberships, flows)
