@@ -194,3 +194,26 @@ def test_reading_joined_equals_broadcast(spark, monkeypatch):
     a = {r.doc_id: round(r.score, 9) for r in reading.harmonic(docs).collect()}
     monkeypatch.setattr(reading, "MAX_WORDS", 0)
     assert {r.doc_id: round(r.score, 9) for r in reading.harmonic(docs).collect()} == a
+
+
+def test_similar_over_several_cells_and_regions(spark, monkeypatch):
+    monkeypatch.setattr(similar, "REGION_ROWS", 500)
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(similar, "QUERY_ROWS", 900)
+    monkeypatch.setattr(similar, "CELL_ROWS", 60)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 16))
+    m = centres[rng.integers(0, 60, 2500)] + 0.25 * rng.standard_normal((2500, 16))
+    rows = [(f"n{i:04}", [float(x) for x in v], "p") for i, v in enumerate(m.astype(np.float32))]
+    df = spark.createDataFrame(rows, "qualified_name string, vector array<float>, provider string")
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    asked = list(range(0, 2500, 50))
+    queries = spark.createDataFrame([("p", f"n{i:04}") for i in asked], "provider string, name string")
+    for floor in (0.92, -1.0):
+        want = {(f"n{i:04}", f"n{j:04}") for i in asked for j in np.argsort(-sim[i])[:5] if sim[i, j] >= floor}
+        got = {(r["name"], r["other"]) for r in similar.nearest(df, 5, floor, queries=queries).collect()}
+        assert len(got) <= 250 and {a for a, _ in got} <= {f"n{i:04}" for i in asked}
+        assert len(want & got) >= 0.95 * len(want)
