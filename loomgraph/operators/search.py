@@ -16,6 +16,8 @@ TOKEN = r"[\p{L}\p{N}_]+"
 RRF_K = 60
 #: Query vectors up to this number of values are sent to every task; more are answered in blocks.
 QUERY_VALUES = 4_000_000
+#: Queries of one block of a keyword search.
+QUERY_BATCH = 1_000
 
 
 def tokens(c: Column) -> Column:
@@ -70,11 +72,22 @@ def search_or_relax(docs: DataFrame, queries: DataFrame, key: str, text: str, li
 def keyword_nodes(n: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
     """(query_id, doc, score, place): words found in names, 10 each, and 3 for the exact name, 2 for its beginning, else 1.
 
-    Words of four letters or more admit a node, shorter ones only rank it; sentences leave files aside. The queries are a small batch beside a scan of all nodes."""
+    Words of four letters or more admit a node, shorter ones only rank it; sentences leave files aside. Blocks of at most
+    QUERY_BATCH queries are sent to a scan of all nodes."""
+    blocks = max(1, -(-queries.count() // QUERY_BATCH))
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        part = _keyword_block(n, numbered.where(F.col("block") == b).drop("block"), limit)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _keyword_block(n: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     q = queries.select("query_id", F.lower("query").alias("query")).withColumn("words", F.filter(F.split("query", r"\s+"), lambda w: w != ""))
     long_words = F.filter("words", lambda w: F.length(w) > 3)
     q = q.withColumn("admit", F.when((F.size("words") > 1) & (F.size(long_words) > 0), long_words).otherwise(F.col("words")))
-    s = n.select("id", "kind", F.lower("name").alias("name"), F.lower("qualified_name").alias("qn")).join(F.broadcast(q))  # a bounded batch of queries against all rows
+    s = n.select("id", "kind", F.lower("name").alias("name"), F.lower("qualified_name").alias("qn")).join(F.broadcast(q))  # about QUERY_BATCH rows
     symbol = F.when(F.size("words") > 1, F.expr("substring(qn, instr(qn, '::') + 2)")).otherwise(F.col("qn"))
     s = s.withColumn("symbol", F.when(F.instr("qn", "::") > 0, symbol).otherwise(F.when(F.size("words") > 1, F.expr("substring(qn, 2)")).otherwise(F.col("qn"))))
     has = lambda arr: F.size(F.filter(arr, lambda w: F.contains(F.col("name"), w) | F.contains(F.col("symbol"), w)))
@@ -83,27 +96,57 @@ def keyword_nodes(n: DataFrame, queries: DataFrame, limit: int = 50) -> DataFram
     return top(s.select("query_id", F.col("id").alias("doc"), score.alias("score")), limit)
 
 
-def query_identifiers(query: str) -> list[str]:
-    """Dotted, snake_case and CamelCase identifiers of a query, lower-case, each once."""
-    found: dict[str, None] = {}
-    for p in (r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b", r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b", r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"):
-        found |= dict.fromkeys(m.lower() for m in re.findall(p, query) if len(m) >= 3)
-    return list(found)
-
-
-def boosts(query: str) -> dict[str, float]:
-    """Factors by node kind and for qualified names that a query's spelling suggests."""
-    q = query.strip()
-    out: dict[str, float] = {}
-    if re.match("[A-Z][a-z]", q):
-        out |= {"Class": 1.5, "Type": 1.5}
-    if "_" in q and re.search("[A-Za-z]", q):
-        out["Function"] = 1.5
-    if "." in q:
-        out["dotted"] = 2.0
-    if query_identifiers(q):
-        out["identifier"] = 2.0
-    return out
+#: What counts as an identifier within a sentence: dotted, snake_case, CamelCase.
+IDENTIFIERS = (r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b", r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b", r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b")
+
+
+def node_text(n: DataFrame) -> DataFrame:
+    """(id, text): what is searched of a node: its name, the words of it, its qualified name and its signature."""
+    parts = ["name", F.array_join(rules.split_words(F.col("name")), " "), "qualified_name", rules.signature(F.col("kind"), F.col("name"), F.col("params"), F.col("return_type"))]
+    return n.select("id", F.concat_ws(" ", *parts).alias("text"))
+
+
+def boost(query: Column, kind: Column, qualified: Column) -> Column:
+    """The factor by which the spelling of a query favours a node: 1.5 for its kind, 2 for a dotted query within the qualified name, 2 for an identifier of the query within it."""
+    q, name = F.trim(query), F.lower(qualified)
+    found = F.filter(F.concat(*[F.regexp_extract_all(q, F.lit(p), F.lit(0)) for p in IDENTIFIERS]), lambda w: F.length(w) >= 3)
+    factor = F.when(kind.isin("Class", "Type") & q.rlike("^[A-Z][a-z]"), 1.5).otherwise(1.0) * F.when((kind == "Function") & F.contains(q, F.lit("_")) & q.rlike("[A-Za-z]"), 1.5).otherwise(1.0)
+    dotted = F.when(F.contains(q, F.lit(".")) & F.contains(name, F.lower(query)), 2.0).otherwise(1.0)
+    return factor * dotted * F.when(F.exists(found, lambda w: F.contains(name, F.lower(w))), 2.0).otherwise(1.0)
+
+
+def hybrid(n: DataFrame, queries: DataFrame, by_vector: DataFrame | None = None, limit: int = 20, kind: str | None = None, context_files: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc, score, place, mode): nodes by keyword rank and vector rank, fused, weighed by what the query's spelling and the files at hand favour, of one kind if asked.
+
+    Each list holds three times the limit, so that a filter leaves enough. Queries that neither list answers are answered by parts of
+    names. by_vector(query_id, doc, place) comes from `nearest`; context_files(file_path) weigh 1.5."""
+    more = 3 * limit
+    by_word = bm25(node_text(n), queries, "id", "text", more)
+    lists = [by_word] if by_vector is None else [by_word, by_vector.where(F.col("place") <= more)]
+    fused = fuse(*lists)
+    flag = lambda x, name: x.select("query_id").distinct().withColumn(name, F.lit(True))
+    modes = flag(by_word, "w") if by_vector is None else flag(by_word, "w").join(flag(by_vector, "v"), "query_id", "full")
+    mode = (F.when(F.col("w").isNotNull(), "fts") if by_vector is None else F.when(F.col("w").isNotNull() & F.col("v").isNotNull(), "hybrid").when(F.col("w").isNotNull(), "fts")).otherwise("semantic")
+    answered = modes.select("query_id", mode.alias("mode"))
+    left = queries.join(answered, "query_id", "left_anti")
+    words = keyword_nodes(n, left, more).select("query_id", "doc", "score").withColumn("mode", F.lit("keyword"))
+    every = fused.join(answered, "query_id").unionByName(words)
+    j = every.join(n.select(F.col("id").alias("doc"), "kind", "qualified_name", "file_path"), "doc").join(queries, "query_id")
+    j = j if kind is None else j.where(F.col("kind") == kind)
+    factor = boost(F.col("query"), F.col("kind"), F.col("qualified_name"))
+    if context_files is not None:
+        j = j.join(context_files.select("file_path", F.lit(True).alias("at_hand")).distinct(), "file_path", "left")
+        factor = factor * F.when(F.col("at_hand"), 1.5).otherwise(1.0)
+    scored = j.select("query_id", "doc", F.round(F.col("score") * factor, 9).alias("score"), "mode")
+    return top(scored, limit).join(scored.select("query_id", "mode").distinct(), "query_id").select("query_id", "doc", "score", "place", "mode")
+
+
+def memory_hybrid(o: DataFrame, queries: DataFrame, by_vector: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """(query_id, doc, score, place): observations (already filtered) that hold all words of a query, else any of them, fused with a vector ranking if there is one; ties by id."""
+    text = o.select("id", F.concat_ws(" ", "title", F.coalesce("body", F.lit(""))).alias("text"))
+    words = search_or_relax(text, queries, "id", "text", 3 * limit)
+    lists = [words] if by_vector is None else [words, by_vector.where(F.col("place") <= 3 * limit).join(o.select(F.col("id").alias("doc")), "doc", "left_semi")]
+    return top(fuse(*lists), limit)
 
 
 def fuse(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -142,12 +185,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
                 nx = np.linalg.norm(x, axis=1, keepdims=True)
                 sim = np.round(qm @ (x / np.where(nx == 0, 1, nx)).T, 6)
                 docs = pdf["doc"].to_numpy()
-                for i, qid in enumerate(ids):
-                    s = np.where((docs == qid) | (sim[i] < least), -2.0, sim[i])
-                    order = np.lexsort((docs, -s))[:k]
-                    order = order[s[order] > -2.0]
-                    if len(order):
-                        yield pd.DataFrame({"query_id": qid, "doc": docs[order], "score": s[order]})
+                sim[(ids[:, None] == docs[None, :]) | (sim < least)] = -2.0
+                most = min(k, sim.shape[1])
+                kth = np.partition(sim, sim.shape[1] - most, axis=1)[:, -most]
+                qi, di = np.nonzero((sim >= kth[:, None]) & (sim > -2.0))  # ties of the k-th go on too
+                if len(qi):
+                    yield pd.DataFrame({"query_id": ids[qi], "doc": docs[di], "score": sim[qi, di]})
 
         part = vectors.where(F.col(vector).isNotNull() & (F.size(vector) == m.shape[1])).select(F.col(key).alias("doc"), F.col(vector).alias("v")).mapInPandas(scan, "query_id bigint, doc bigint, score double")
         out = part if out is None else out.unionByName(part)
@@ -155,6 +198,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """(provider, name, v): one vector per provider and name, the least of those that are of the provider's commonest width, finite and not all zero."""
+    v = F.col("vector")
+    fine = rows.where("provider is not null and qualified_name is not null and size(vector) > 0").select("provider", F.col("qualified_name").alias("name"), v.alias("v"))
+    widths = fine.groupBy("provider", F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).groupBy("provider").agg(F.max_by("width", F.struct("n", -F.col("width"))).alias("width"))  # a row per provider
+    fine = fine.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+    return fine.join(F.broadcast(widths), "provider").where("size(v) = width").groupBy("provider", "name").agg(F.min("v").alias("v"))
+
+
 def embedding_text(n: DataFrame) -> DataFrame:
     """(qualified_name, text, text_hash): what is embedded of a symbol: its dotted name, words, kind, parent, signature, directory, language."""
     words = F.array_join(rules.split_words(F.col("name")), " ")

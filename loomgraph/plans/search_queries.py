@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 from loomgraph.operators import communities as C
 from loomgraph.operators import graph as G
+from loomgraph.operators import memory as M
 from loomgraph.operators import risk as K
 from loomgraph.operators import search as S
 from loomgraph.operators import traverse as T
 from loomgraph.plans.registry import IGNORED_SQL, Registry
 from loomgraph.plans.structure_queries import _DIR
+from loomgraph.session import materialise
 
 R = Registry()
 q = R.add
@@ -44,22 +47,67 @@ def _(t):
     return S.postings(t("documents"), "doc_id", "text")
 
 
-@q("i3_name_search", "WITH " + _bm25("documents", "doc_id", "text", _ALL, "SELECT query_id, count(*) AS docs FROM r GROUP BY 1"))
-def _(t):
-    d = t("documents")
-    return S.bm25(d, _queries(d), limit=None).groupBy("query_id").agg(F.count(F.lit(1)).alias("docs"))
+NODE_QUERIES = [(1, "cursor"), (2, "load vector"), (3, "Index.filter"), (4, "merge_symbol"), (5, "PolicyStore"), (6, "resolver qzx")]
+_NQ = "qs(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in NODE_QUERIES) + ")"
+_WORDS = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[_\\-.\\s]+'), lambda x: x <> ''), ' ')"
+_SIGNATURE = "substr(CASE WHEN kind IN ('Function', 'Test') THEN 'def ' || name || '(' || regexp_replace(coalesce(params, ''), '^\\(|\\)$', '', 'g') || ')' || coalesce(' -> ' || return_type, '') WHEN kind = 'Class' THEN 'class ' || name ELSE name END, 1, 512)"
+_NODE_TEXT = f", nt AS (SELECT id, concat_ws(' ', name, {_WORDS}, qualified_name, {_SIGNATURE}) AS text FROM n), "
+_UV = """, uv AS (SELECT id, min(v) AS v FROM (SELECT n.id, x.vector AS v FROM node_vectors x JOIN n ON n.qualified_name = x.qualified_name WHERE x.provider = 'onnx:pocket-mini' AND len(x.vector) = 48 AND len(list_filter(x.vector, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x.vector, lambda y: y <> 0)) > 0) GROUP BY id),
+an AS (SELECT id, v, row_number() OVER (ORDER BY id) AS query_id FROM uv QUALIFY query_id <= 6),
+vr AS (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS place FROM (SELECT an.query_id, uv.id AS doc, round(list_cosine_similarity(an.v::double[], uv.v::double[]), 6) AS score FROM an, uv)) """
+
+
+def _node_queries(df):
+    return df.sparkSession.createDataFrame(NODE_QUERIES, "query_id bigint, query string")
+
+
+def _vector_leg(t, n, k):
+    """The nearest symbols of six vectors that stand for the embedded queries: those of the least ids."""
+    one = S.usable(t("node_vectors").where("provider = 'onnx:pocket-mini'")).join(n.select("id", F.col("qualified_name").alias("name")), "name").select("id", "v")
+    vectors = materialise(one, "vectors")
+    asked = vectors.orderBy("id").limit(6).select(F.row_number().over(Window.orderBy("id")).cast("bigint").alias("query_id"), "v")
+    return S.nearest(vectors, asked.withColumn("query_id", -F.col("query_id")), k, "id", "v").withColumn("query_id", -F.col("query_id"))  # negative ids: the anchors answer too
 
 
-@q("i4_keyword_nodes", graph=True)
+@q("i3_node_search", _NODE_TEXT + _bm25("nt", "id", "text", _ALL, "SELECT query_id, doc, score, place FROM r WHERE place <= 20").replace(_Q, _NQ), graph=True)
+def _(t, n, e):
+    return S.bm25(S.node_text(n), _node_queries(n), "id", "text")
+
+
+@q("i8_vector_leg", _UV + "SELECT query_id, doc, score, place FROM vr WHERE place <= 20", graph=True)
+def _(t, n, e):
+    return _vector_leg(t, n, 20)
+
+
+_HYBRID = _UV + _NODE_TEXT + _bm25("nt", "id", "text", _ALL).replace(_Q, _NQ) + """, f AS (SELECT query_id, doc, round(sum(1.0::double / (place + 60)), 9) AS score FROM (SELECT query_id, doc, place FROM r WHERE place <= 60 UNION ALL SELECT query_id, doc, place FROM vr WHERE place <= 60) GROUP BY 1, 2),
+i AS (SELECT query_id, query, list_filter(list_concat(list_concat(regexp_extract_all(trim(query), '\\b[A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+\\b'), regexp_extract_all(trim(query), '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\b')), regexp_extract_all(trim(query), '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b')), lambda w: length(w) >= 3) AS ws FROM qs),
+b AS (SELECT query_id, doc, round(score * (CASE WHEN n.kind IN ('Class', 'Type') AND regexp_matches(trim(query), '^[A-Z][a-z]') THEN 1.5::double ELSE 1::double END * CASE WHEN n.kind = 'Function' AND contains(query, '_') THEN 1.5::double ELSE 1::double END * CASE WHEN contains(query, '.') AND contains(lower(qualified_name), lower(query)) THEN 2::double ELSE 1::double END * CASE WHEN len(list_filter(ws, lambda w: contains(lower(qualified_name), lower(w)))) > 0 THEN 2::double ELSE 1::double END), 9) AS score FROM f JOIN n ON n.id = f.doc JOIN i USING (query_id))
+SELECT query_id, doc, score, place, CASE WHEN query_id IN (SELECT query_id FROM r) THEN 'hybrid' ELSE 'semantic' END AS mode FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS place FROM b) WHERE place <= 20"""
+
+
+@q("i9_hybrid_search", _HYBRID, graph=True)
+def _(t, n, e):
+    return S.hybrid(n, _node_queries(n), _vector_leg(t, n, 60))
+
+
+@q("i4_keyword_nodes", """, qs(query_id, query) AS (VALUES (1, 'parser'), (2, 'get range'), (3, 'merge the session')), qw AS (SELECT *, regexp_split_to_array(query, '\\s+') AS ws FROM qs), qa AS (SELECT *, CASE WHEN len(ws) > 1 AND len(list_filter(ws, lambda w: length(w) > 3)) > 0 THEN list_filter(ws, lambda w: length(w) > 3) ELSE ws END AS ad FROM qw),
+c AS (SELECT query_id, query, ws, ad, id, kind, lower(name) AS nm, CASE WHEN len(ws) = 1 THEN lower(qualified_name) WHEN contains(qualified_name, '::') THEN substr(lower(qualified_name), instr(qualified_name, '::') + 2) ELSE substr(lower(qualified_name), 2) END AS sy FROM n, qa),
+h AS (SELECT query_id, id AS doc, len(list_filter(ws, lambda w: contains(nm, w) OR contains(sy, w))) * 10 + CASE WHEN nm = query THEN 3::double WHEN starts_with(nm, query) THEN 2::double ELSE 1::double END AS score FROM c WHERE (len(ws) = 1 OR kind <> 'File') AND len(list_filter(ad, lambda w: contains(nm, w) OR contains(sy, w))) > 0)
+SELECT query_id, doc, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS place FROM h) WHERE place <= 50""", graph=True)
 def _(t, n, e):
     return S.keyword_nodes(n, n.sparkSession.createDataFrame([(1, "parser"), (2, "get range"), (3, "merge the session")], "query_id int, query string"))
 
 
-@q("i7_fusion", "WITH " + _bm25("documents", "doc_id", "text", "", "SELECT query_id, doc, round(1.0::double / (place + 60) + 1.0::double / (place + 60), 9) AS score FROM r WHERE place <= 30"))
+@q("i7_fusion", _UV + _NODE_TEXT + _bm25("nt", "id", "text", _ALL).replace(_Q, _NQ) + " SELECT query_id, doc, round(sum(1.0::double / (place + 60)), 9) AS score FROM (SELECT query_id, doc, place FROM r WHERE place <= 30 UNION ALL SELECT query_id, doc, place FROM vr WHERE place <= 30) GROUP BY 1, 2", graph=True)
+def _(t, n, e):
+    """Keyword rank of nodes and vector rank, fused."""
+    return S.fuse(S.bm25(S.node_text(n), _node_queries(n), "id", "text", 30), _vector_leg(t, n, 30))
+
+
+@q("i13_memory_hybrid")
 def _(t):
-    d = t("documents")
-    a = S.bm25(d, _queries(d), limit=30, every_term=False)
-    return S.fuse(a, a)
+    o = M.memory_filter(M.unique_observations(t("observations")), start="2025-03-01", end="2025-12-31")
+    return S.memory_hybrid(o, _queries(o))
 
 
 @q("i10_memory_search", "WITH o AS (SELECT id, any_value(title || ' ' || coalesce(body, '')) AS text FROM observations GROUP BY id), " + _bm25("o", "id", "text", _ALL, "SELECT query_id, doc, score, place FROM r WHERE place <= 20"))

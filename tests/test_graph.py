@@ -105,9 +105,10 @@ def test_search_relaxes_and_fuses(spark):
     assert search.fuse(a, a).orderBy("doc").first().score == round(2 / 61, 9)
 
 
-def test_query_rules():
-    assert search.query_identifiers("who calls Context.next and get_users or ApiRoute") == ["context.next", "get_users", "apiroute"]
-    assert search.boosts("get_users") == {"Function": 1.5, "identifier": 2.0}
+def test_query_rules(spark):
+    cases = [("who calls Context.next or so", "Class", "/a::Context.next", 2.0), ("get_users", "Function", "/a::get_users", 3.0), ("get_users", "Class", "/a::x", 1.0), ("ApiRoute", "Class", "/a::ApiRoute", 3.0), ("a.b", "Function", "/a::A.B", 4.0), ("", "Class", "/a::x", 1.0)]
+    df = spark.createDataFrame([c[:3] for c in cases], "q string, kind string, qn string")
+    assert [r[0] for r in df.select(search.boost(df.q, df.kind, df.qn)).collect()] == [c[3] for c in cases]
     for path, hit in {"build/a.c": True, "src/build/a.c": False, "dist": True, "a/node_modules/x.js": True, "src/vendored/x.go": False, "x/vendor": True, "a/b.min.js": True, "package-lock.json": True, "a/package-lock.json": False, "public/build/m.js": True, "web/public/build/m.js": False, "t.d.ts": True}.items():
         assert any(re.search(rules.glob_regex(g), path) for g in rules.IGNORED_GLOBS + rules.DECLARATION_GLOBS) == hit, path
 
@@ -120,3 +121,17 @@ def test_lookups(spark, make):
     assert {(x.asked, x.status) for x in patterns.resolve_targets(n, asked).collect()} == {("g", "ok"), ("zzz", "not_found")}
     p = spark.createDataFrame([("/b", 12)], "file_path string, line int")
     assert [x.enclosing for x in graph.enclosing(p, n).collect()] == ["/b::g"]
+
+
+def test_hybrid_search_fuses_and_falls_back(spark, make):
+    n, e = make([("CALLS", "/a::load_cache", "/b::save_cache"), ("CALLS", "/b::Cache.load", "/c::other")])
+    qs = spark.createDataFrame([(1, "load_cache"), (2, "cach"), (3, "zzz"), (4, "nowords")], "query_id bigint, query string")
+    ids = {r.qualified_name: r.id for r in n.collect()}
+    by_vector = spark.createDataFrame([(1, ids["/b::save_cache"], 1), (4, ids["/c::other"], 1)], "query_id bigint, doc bigint, place int")
+    got = {}
+    for r in search.hybrid(n, qs, by_vector).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.doc, r.mode))
+    assert got[1] == [(ids["/a::load_cache"], "hybrid"), (ids["/b::save_cache"], "hybrid")]
+    assert {m for _, m in got[2]} == {"keyword"} and len(got[2]) == 3 and 3 not in got and got[4] == [(ids["/c::other"], "semantic")]
+    only = search.hybrid(n, qs, by_vector, kind="File").collect()
+    assert not [r for r in only if r.query_id == 1]
