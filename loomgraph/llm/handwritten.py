@@ -2,9 +2,9 @@
 
 Method: attribute files are parsed and their globs resolved with the precedence of directories (deeper files and later lines
 win); what they declare holds. Files of undeclared repositories are judged by equivalent patterns mined from all files: a
-directory (or pair of directories) or a shape of file names is a pattern if most readable files under it, in several places,
-show evidence in their own text: a tool's marker, the notice of another owner, minified lines, tables of numbered
-declarations, or mostly literal data. Unmarked copies outside such directories are found by shingles of five words: bodies
+directory (or pair of directories) or a shape of file names is a pattern if most files under it, in several places, are declared by
+attribute files or, where these say nothing and the file is readable, show evidence in their own text: a tool's marker, the notice
+of another owner, minified lines, tables of numbered declarations, or mostly literal data. Unmarked copies outside such directories are found by shingles of five words: bodies
 that equal, or reach a similarity of 0.8 with, a body of another owner.
 
 The text of a file counts without its leading comment, so that a dropped or added notice changes nothing. Copies within the
@@ -28,13 +28,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import materialise
 
-#: The project's own company: its notices are no foreign ones.
-OWNERS = ("Harborline",)
 MIN_SHARE, MIN_NOTICES, MIN_FILES, MIN_PLACES = 0.7, 0.5, 3, 2
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 SALTS = 8
-HEAD_LINES = 12
 
 # What tools write into the head of their output.
 TOOL_MARK = re.compile(
@@ -50,32 +47,42 @@ OWNER_MARK = re.compile(
     re.X | re.I,
 )
 _COMMENT = re.compile(r"^\s*(?://|/\*|\*|--|<!--|;|%|#(?!include|define|if|endif|pragma|import))")
+_BLOCK = re.compile(r"^\s*(/\*|<!--)")
+_CLOSING = {"/*": "*/", "<!--": "-->"}
 _STRING = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|`[^`]*`|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'')
 _NUMBERS = re.compile(r"\d+")
 _WORDS = re.compile(r"\w+")
 
 
-def head_of(text: str) -> str:
-    """The comment lines at the top of a file."""
-    out = []
-    for line in text.split("\n", HEAD_LINES)[:HEAD_LINES]:
-        if not line.strip() or _COMMENT.match(line):
-            out.append(line)
+def head_end(lines: Sequence[str]) -> int:
+    """The number of lines of the comment, however long, with which a file begins; blank lines belong to it, and so does all of a block comment."""
+    closing = None
+    for k, line in enumerate(lines):
+        if closing:
+            if closing in line:
+                closing = None
+        elif line.strip() and not _COMMENT.match(line):
+            return k
         else:
-            break
-    return "\n".join(out)
+            m = _BLOCK.match(line)
+            if m and _CLOSING[m.group(1)] not in line[m.end() :]:
+                closing = _CLOSING[m.group(1)]
+    return len(lines)
+
+
+def head_of(text: str) -> str:
+    """The comment at the top of a file."""
+    lines = text.split("\n")
+    return "\n".join(lines[: head_end(lines)])
 
 
 def body_words(text: str) -> list[str]:
     """The words of a file after its leading comment."""
     lines = text.split("\n")
-    k = 0
-    while k < len(lines) and (not lines[k].strip() or _COMMENT.match(lines[k])):
-        k += 1
-    return _WORDS.findall("\n".join(lines[k:]))
+    return _WORDS.findall("\n".join(lines[head_end(lines) :]))
 
 
-def foreign_notice(head: str, owners: Sequence[str] = OWNERS) -> tuple[bool, bool]:
+def foreign_notice(head: str, owners: Sequence[str]) -> tuple[bool, bool]:
     """(a notice of another owner, a notice of one of `owners`) in the head of a file."""
     own = any(o.lower() in head.lower() for o in owners)
     other = any(not any(o.lower() in m.group().lower() for o in owners) for m in OWNER_MARK.finditer(head))
@@ -102,7 +109,7 @@ def repetition(text: str) -> float:
     return sum(c for s, c in shapes.items() if c >= 6 and sum(b > a for a, b in zip(firsts[s], firsts[s][1:])) >= 0.8 * (c - 1)) / n
 
 
-def evidence(text: str | None, owners: Sequence[str] = OWNERS) -> str:
+def evidence(text: str | None, owners: Sequence[str]) -> str:
     """What a file's own text shows: null, empty, foreign, generated, minified, data, own or plain."""
     if text is None:
         return "null"
@@ -183,7 +190,7 @@ def parse_attributes(text: str) -> list[tuple[str, str, bool | None]]:
         if not fields or fields[0].startswith("#"):
             continue
         for a in fields[1:]:
-            m = re.fullmatch(r"(-|!)?(linguist-(?:generated|vendored|documentation))(?:=(\w+))?", a)
+            m = re.fullmatch(r"(-|!)?(linguist-(?:generated|vendored))(?:=(\w+))?", a)
             if m:
                 value = None if m.group(1) == "!" else m.group(1) != "-" and (m.group(3) or "true").lower() not in ("false", "0", "unset")
                 out.append((fields[0], m.group(2), value))
@@ -215,7 +222,7 @@ def glob_regex(glob: str) -> str:
 def resolve_attributes(path: str, rules: Sequence[tuple[str, str]]) -> bool | None:
     """What attribute files (directory, text) along a path declare: the deepest directory wins, there the last matching line."""
     state: dict[str, bool | None] = {}
-    for folder, text in sorted(rules, key=lambda r: r[0].count("/")):
+    for folder, text in sorted(rules, key=lambda r: (len([x for x in r[0].split("/") if x]), r[0])):  # the root is 0 deep
         below = path[len(folder) :].lstrip("/") if path.startswith(folder.rstrip("/") + "/") or not folder else None
         if below is None:
             continue
@@ -268,7 +275,7 @@ def band_keys(s: np.ndarray) -> list[int]:
     return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i)))) for i in range(BANDS)]
 
 
-def inspect(files: DataFrame, owners: Sequence[str] = OWNERS) -> DataFrame:
+def inspect(files: DataFrame, owners: Sequence[str]) -> DataFrame:
     """(file_path, shown, body, shingles, bands) of each row; the last three for readable prose of code only."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,8 +294,8 @@ def inspect(files: DataFrame, owners: Sequence[str] = OWNERS) -> DataFrame:
     return files.where("file_path is not null").select("file_path", "content").mapInPandas(look, "file_path string, shown string, body string, shingles array<bigint>, bands array<bigint>")
 
 
-def mine_patterns(seen: DataFrame) -> DataFrame:
-    """Paths under mined patterns; counts are over all files.
+def mine_patterns(seen: DataFrame, said: DataFrame) -> DataFrame:
+    """Paths under mined patterns; counts are over all files. said(file_path, declared): what attribute files declare counts before what a text shows.
 
     A file that cannot be read is judged by any pattern most of whose readable files show evidence. A readable file that shows
     none (it would show a tool's work itself) is judged by directories most of whose files carry another owner's notice.
@@ -299,8 +306,10 @@ def mine_patterns(seen: DataFrame) -> DataFrame:
             out = [(pat, place, p, s) for p, s in zip(b["file_path"], b["shown"]) for pat, place in dict(path_patterns(p)).items()]
             yield pd.DataFrame(out, columns=["pattern", "place", "file_path", "shown"])
 
-    rows = seen.select("file_path", "shown").mapInPandas(explode, "pattern string, place string, file_path string, shown string")
-    hit = F.col("shown").isin("foreign", "generated", "minified", "data").cast("long")
+    told = seen.select("file_path", "shown").join(said, "file_path", "left")
+    told = told.select("file_path", F.when(F.col("declared"), "declared").when(~F.col("declared"), "kept").otherwise(F.col("shown")).alias("shown"))
+    rows = told.mapInPandas(explode, "pattern string, place string, file_path string, shown string")
+    hit = F.col("shown").isin("declared", "foreign", "generated", "minified", "data").cast("long")
     notice = (F.col("shown") == "foreign").cast("long")
     unread = F.col("shown").isin("null", "empty")
     by_place = rows.groupBy("pattern", "place").agg(F.sum(hit).alias("hits"), F.sum(notice).alias("notices"), F.sum((~unread).cast("long")).alias("files"))
@@ -338,15 +347,15 @@ def copies(seen: DataFrame, foreign: DataFrame) -> DataFrame:
     return plain.where("shown = 'plain'").join(hit, "body", "left_semi").select("file_path")
 
 
-def not_handwritten(files: DataFrame, owners: Sequence[str] = OWNERS) -> DataFrame:
+def not_handwritten(files: DataFrame, owners: Sequence[str]) -> DataFrame:
     """(file_path, reason) of each file that is not hand-written source of the project."""
     seen = materialise(inspect(files, owners), "inspected")
     shown = seen.where(F.col("shown").isin("foreign", "generated", "minified", "data")).select("file_path", F.col("shown").alias("reason"))
     own = seen.where("shown = 'own'").select("file_path").distinct()
-    by_pattern = materialise(mine_patterns(seen).join(own, "file_path", "left_anti"), "patterns").select("file_path", F.lit("pattern").alias("reason"))
+    said = materialise(declared(files), "declared")
+    by_pattern = materialise(mine_patterns(seen, said).join(own, "file_path", "left_anti"), "patterns").select("file_path", F.lit("pattern").alias("reason"))
     foreign = shown.where("reason = 'foreign'").select("file_path").unionByName(by_pattern.select("file_path")).distinct()
     copied = copies(seen, foreign).select("file_path", F.lit("copy").alias("reason"))
-    said = declared(files)
     judged = shown.unionByName(by_pattern).unionByName(copied).join(said.where("not declared"), "file_path", "left_anti")
     everything = judged.unionByName(said.where("declared").select("file_path", F.lit("declared").alias("reason")))
     w = Window.partitionBy("file_path").orderBy("reason")  # a handful of rows

@@ -1,18 +1,22 @@
 """Mixing sources to target weights.
 
-Method: the tokens of each source are packed, in a fixed order of its documents, into blocks of a fixed length. The output is
-a number of shards of slots. The slots of a source are its quota (largest remainder of its share), drawn over the shards by a
-multinomial conditioned on the quotas, so that shards are random and totals exact. The r-th slot of a source is mapped to a
-block through a pseudorandom permutation of its block indices, another one in each pass over the source; a source is passed at
-most max_repeats times. Slots beyond that are left out and reported as missing. Slots and blocks are joined by index.
+Method: the tokens of each source are packed, in a fixed order of its documents, into blocks of a fixed length; the last one may be
+short. The slots of a source are the passes and blocks that meet its quota. A pseudorandom permutation of all slots, made from the
+seed alone, gives each its shard and place: the sources of a shard are so a multinomial draw conditioned on the quotas (shards are
+random, totals are not), drawn where the slots are made and not on the driver. The r-th slot of a pass is mapped to a block through
+a pseudorandom permutation of the full blocks of its source, another one in each pass; the short block ends the pass. A source is
+passed at most max_repeats times. Slots and blocks are joined by index.
 
 No source is gathered: positions of documents come from two-level sums (source and bucket, then within a bucket), so a source
-that holds most rows is spread over many buckets.
+that holds most rows is spread over many buckets; its slots are made in runs of RUN. Any number of sources may be given.
 
 Defined results: null and empty texts have no tokens and are not used; documents with a null source, or one that is not among
-the targets, are not used and are reported with target 0; a target without documents is reported with 0 tokens; a null or
+the targets, are not used and are reported with target 0 (under the source null); a document without a doc_id cannot be named
+and is not used, its tokens are reported as tokens_without_id; a target without documents is reported with 0 tokens; a null or
 non-positive share counts as 0 and a null max_repeats as 1; a source given twice among targets counts with the sum of its
-shares and the least max_repeats; documents are made unique by doc_id; an empty table gives reports only.
+shares and the least max_repeats; of several rows of one doc_id the one of the least source and fewest tokens counts; a source
+with a share and tokens has one block at least; what misses a quota (rounding to blocks, or the cap) is reported as
+tokens_missing; an empty table gives reports only.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +34,7 @@ from loomgraph.llm.resources import TOKENIZERS
 from loomgraph.llm.tokens import encode_corpus
 from loomgraph.session import materialise
 
-BLOCK = 512
-#: Targets are a table of fixed size; more are refused.
-MAX_SOURCES = 10_000
+BLOCK, SHARD_SLOTS, RUN = 512, 4096, 65_536
 BUCKET_ROWS = 20_000
 
 
@@ -55,10 +58,13 @@ def permute(i: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def token_counts(documents: DataFrame, tokenizer_dir: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, source, n): tokens of each document, made unique by doc_id."""
-    docs = documents.select("doc_id", "source", "text").dropDuplicates(["doc_id"])
-    sizes = encode_corpus(docs, "doc_id", tokenizer_dir).select("doc_id", F.size("ids").cast("long").alias("n"))
-    return docs.select("doc_id", "source").join(sizes, "doc_id")
+    """(doc_id, source, n): tokens of each row; texts are encoded where they lie and only numbers leave."""
+    return encode_corpus(documents, "doc_id", tokenizer_dir, keep=["source"]).select("doc_id", "source", F.size("ids").cast("long").alias("n"))
+
+
+def unique_sizes(sizes: DataFrame) -> DataFrame:
+    """(doc_id, source, n): one row per doc_id, that of the least source and fewest tokens."""
+    return sizes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("source", "n")).alias("x")).select("doc_id", "x.*")
 
 
 def pack(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -77,78 +83,67 @@ def pack(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.select("source", "block", "doc_id", lo.alias("doc_from"), hi.alias("doc_to"), (F.col("start") + lo - F.col("block") * block).alias("at"))
 
 
-def plan(targets: DataFrame, available: DataFrame, total: int | None, block: int, shards: int | None, seed: int) -> pd.DataFrame:
-    """(source, target_share, max_repeats, tokens, quota, slots): driver-side, one row per source."""
-    t = targets.where("source is not null").groupBy("source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    rows = t.join(available, "source", "full").limit(MAX_SOURCES + 1).toPandas().sort_values("source").reset_index(drop=True)
-    if len(rows) > MAX_SOURCES:
-        raise ValueError("too many sources")
-    rows["target_share"] = rows["target_share"].fillna(0.0)
-    rows["max_repeats"] = rows["max_repeats"].fillna(0).astype(int)
-    rows["tokens"] = rows["tokens"].fillna(0).astype(int)
-    listed = rows["target_share"] > 0
-    size = int(rows.loc[listed, "tokens"].sum()) if total is None else total
-    n = size // block
-    exact = rows["target_share"] / max(rows["target_share"].sum(), 1e-300) * n
-    quota = np.floor(exact).astype(int)
-    for i in (exact - quota).sort_values(ascending=False, kind="stable").index[: int(round(exact.sum())) - int(quota.sum())]:
-        quota[i] += 1
-    rows["quota"] = quota
-    rows["blocks"] = rows["tokens"] // block  # the last, partial block is not used
-    rows["slots"] = np.minimum(rows["quota"], rows["blocks"] * rows["max_repeats"])
-    return rows
-
-
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK, shards: int | None = None, seed: int = 7, tokenizer_dir: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+def plan(targets: DataFrame, sizes: DataFrame, total: int | None, block: int) -> DataFrame:
+    """(source, target_share, max_repeats, tokens, without_id, quota, full, per_pass, passes, extra, slots, used): one row per source.
+
+    A quota is met by whole passes, then by the nearest number of blocks of the next one."""
+    share = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))
+    t = targets.where("source is not null").groupBy("source").agg(F.sum(share).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    named = unique_sizes(sizes).groupBy("source").agg(F.sum("n").alias("tokens"))
+    lost = sizes.where("doc_id is null").groupBy("source").agg(F.sum("n").alias("without_id"))
+    have = named.join(lost.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "full").select(F.coalesce("source", "s").alias("source"), "tokens", "without_id")
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
+    rows = materialise(t.join(have, "source", "full").select("source", zero("target_share", "double"), zero("max_repeats", "int"), zero("tokens", "long"), zero("without_id", "long")), "sources")
+    sums = rows.agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("shares"), F.coalesce(F.sum(F.when(F.col("target_share") > 0, F.col("tokens"))), F.lit(0)).alias("listed")).first()
+    size = int(sums.listed) if total is None else total
+    quota = F.col("target_share") / F.lit(max(sums.shares, 1e-300)) * F.lit(float(size))
+    p = rows.withColumn("quota", quota).withColumn("full", F.floor(F.col("tokens") / block)).withColumn("per_pass", F.ceil(F.col("tokens") / block))
+    some = (F.col("tokens") > 0) & (F.col("quota") > 0) & (F.col("max_repeats") > 0)
+    p = p.withColumn("passes", F.when(some, F.least(F.floor(F.col("quota") / F.col("tokens")), F.col("max_repeats"))).otherwise(0).cast("long"))
+    left = F.when(some & (F.col("passes") < F.col("max_repeats")), F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0.0)
+    p = p.withColumn("extra", F.least(F.floor(left / block + 0.5), F.col("per_pass")).cast("long"))
+    p = p.withColumn("extra", F.when(some & (F.col("passes") + F.col("extra") == 0), 1).otherwise(F.col("extra")))
+    p = p.withColumn("slots", F.col("passes") * F.col("per_pass") + F.col("extra"))
+    return p.withColumn("used", F.col("passes") * F.col("tokens") + F.when(F.col("extra") == F.col("per_pass"), F.col("tokens")).otherwise(F.col("extra") * block))
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK, shards: int | None = None, seed: int = 7, tokenizer_dir: str = TOKENIZERS, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
     mixture(shard, slot, source, pass, block, doc_id, doc_from, doc_to, at): the pieces of documents (token positions) of each
-    slot. report(source, target_share, actual_share, tokens_used, tokens_available, tokens_missing, passes, max_repeats).
-    """
-    spark = documents.sparkSession
-    sizes = materialise(token_counts(documents, tokenizer_dir), "sizes")
-    available = sizes.where("source is not null").groupBy("source").agg(F.sum("n").alias("tokens"))
-    rows = plan(targets, available, total, block, shards, seed)
-    n = int(rows["slots"].sum())
-    shards = shards or max(1, math.ceil(n / 4096))
-    rng = np.random.default_rng(seed)
-    left, places = rows["slots"].to_numpy().copy(), [n // shards + (k < n % shards) for k in range(shards)]
-    draws, used = [], np.zeros(len(rows), int)
-    for k, m in enumerate(places):  # one draw per shard of thousands of slots
-        c = rng.multivariate_hypergeometric(left, m, method="marginals") if m else np.zeros(len(rows), int)
-        draws += [(k, s, int(u), int(x), int(b)) for s, u, x, b in zip(rows["source"], used, c, rows["blocks"]) if x]
-        left, used = left - c, used + c
-    schema = "shard int, source string, first bigint, n bigint, blocks bigint"
-    plan_df = spark.createDataFrame(draws, schema).repartition(max(1, min(len(draws), 400)), "shard", "source")
+    slot. report(source, target_share, actual_share, tokens_used, tokens_available, tokens_missing, tokens_without_id, passes,
+    max_repeats). Sizes (doc_id, source, n) may be given in another unit than tokens."""
+    sizes = materialise(token_counts(documents, tokenizer_dir) if sizes is None else sizes.select("doc_id", "source", F.col("n").cast("long").alias("n")), "sizes")
+    rows = materialise(plan(targets, sizes, total, block), "plan")
+    sums = rows.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n"), F.coalesce(F.sum("used"), F.lit(0)).alias("used")).first()
+    n = int(sums.n)
+    per_shard = SHARD_SLOTS if shards is None else max(1, math.ceil(n / shards))
+    w = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)  # a row per source
+    runs = rows.where("slots > 0").withColumn("offset", F.coalesce(F.sum("slots").over(w), F.lit(0)))
+    runs = runs.select("source", "full", "per_pass", "slots", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(RUN).cast("long"))).alias("first")).repartition("source", "first")
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                i = np.arange(r.first, r.first + r.n)
-                p = i // r.blocks
-                out = np.empty(len(i), np.int64)
+                i = np.arange(r.first, min(r.first + RUN, r.slots), dtype=np.int64)
+                p, at = i // r.per_pass, i % r.per_pass
+                out = at.copy()  # the short block, if any, stays the last of a pass
                 for q in np.unique(p):
-                    out[p == q] = permute(i[p == q] % r.blocks, r.blocks, _seed(r.source, int(q), seed))
-                yield pd.DataFrame({"shard": r.shard, "source": r.source, "pass": p.astype("int32"), "block": out, "order": i})
-
-    drawn = plan_df.mapInPandas(slots, "shard int, source string, pass int, block bigint, order bigint")
-    w = Window.partitionBy("shard").orderBy(F.xxhash64("source", "order", F.lit(seed)), "source", "order")  # a shard has a few thousand slots
-    placed = drawn.withColumn("slot", F.row_number().over(w) - 1).drop("order")
-    mixture = placed.join(pack(sizes, block), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "doc_from", "doc_to", "at")
-    return mixture, _report(spark, rows, block)
+                    m = (p == q) & (at < r.full)
+                    out[m] = permute(at[m], r.full, _seed(r.source, int(q), seed))
+                place = permute(i + r.offset, n, seed)
+                yield pd.DataFrame({"shard": place // per_shard, "slot": (place % per_shard).astype("int32"), "source": r.source, "pass": p.astype("int32"), "block": out})
+
+    placed = runs.mapInPandas(slots, "shard bigint, slot int, source string, pass int, block bigint")
+    mixture = placed.join(pack(unique_sizes(sizes), block), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "doc_from", "doc_to", "at")
+    share = F.col("used") / F.lit(max(int(sums.used), 1))
+    report = rows.select(
+        "source", "target_share", share.alias("actual_share"), F.col("used").cast("long").alias("tokens_used"), F.col("tokens").alias("tokens_available"),
+        F.greatest(F.floor(F.col("quota") - F.col("used") + 0.5), F.lit(0)).cast("long").alias("tokens_missing"), F.col("without_id").alias("tokens_without_id"),
+        F.when(F.col("tokens") > 0, F.col("used") / F.col("tokens")).otherwise(0.0).alias("passes"), "max_repeats",
+    )
+    return mixture, report
 
 
 def _seed(source: str, q: int, seed: int) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(f"{source}\x00{q}\x00{seed}") & 0x7FFFFFFF
-
-
-def _report(spark, rows: pd.DataFrame, block: int) -> DataFrame:
-    used = rows["slots"] * block
-    out = pd.DataFrame({
-        "source": rows["source"], "target_share": rows["target_share"].astype(float), "actual_share": used / max(int(used.sum()), 1),
-        "tokens_used": used.astype("int64"), "tokens_available": rows["tokens"].astype("int64"), "tokens_missing": ((rows["quota"] - rows["slots"]) * block).astype("int64"),
-        "passes": np.where(rows["blocks"] > 0, rows["slots"] / np.maximum(rows["blocks"], 1), 0.0), "max_repeats": rows["max_repeats"].astype("int32"),
-    })
-    return spark.createDataFrame([tuple(x) for x in out.astype(object).itertuples(index=False)], "source string, target_share double, actual_share double, tokens_used bigint, tokens_available bigint, tokens_missing bigint, passes double, max_repeats int")

@@ -342,17 +342,17 @@ FOUND = T.StructType([T.StructField("id", T.StringType()), T.StructField("field"
 
 
 def find_all(observations: DataFrame, model: NameModel, fields: tuple[str, ...] = ("title", "body"), key: str = "id") -> DataFrame:
-    """(id, field, pii_type, start_pos, end_pos) of every personal value; each id counts once."""
+    """(id, field, pii_type, start_pos, end_pos) of every personal value; each id counts once: equal values of rows given again are dropped, not their texts. An id given with several texts has the values of each."""
     spark = observations.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a few thousand trigrams, bounded by MAX_CONTRIBUTORS and the vocabulary
-    rows = observations.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *fields).dropDuplicates(["id"])
+    rows = observations.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *fields)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(i, name, kind, s, e) for name in fields for i, text in zip(b["id"], b[name]) if isinstance(text, str) and text for kind, s, e in find(text, shared.value)]
             yield pd.DataFrame(out, columns=FOUND.names)
 
-    return rows.mapInPandas(search, FOUND)
+    return rows.mapInPandas(search, FOUND).distinct()
 
 
 def redact_all(observations: DataFrame, model: NameModel, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:

@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.session import materialise
 
 LEAST_CHARS, ITERATIONS, PRIOR, CUT_BINS = 250, 5, 1.0, 400
-#: Words up to this number are sent to every task (16 bytes each); beyond it they are joined.
+#: Words up to this number are sent to every task (two arrays of 8 bytes a word, at most 16 MB); beyond it they are joined.
 MAX_WORDS = 1_000_000
 
 # Function words of four languages.
@@ -41,6 +41,7 @@ FUNCTION_WORDS = {
     "es": "el los las una un para que por con del se es como más pero cada su no lo al en y de si desde sin luego la".split(),
 }
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+_ANY_LANGUAGE = frozenset().union(*_SETS.values())
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|https?://\S+|\S*[_/\\]\S*|\b\w+\(\S*\)", re.S)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -52,11 +53,11 @@ def words_of(text: str) -> list[str]:
 
 def is_english(words: list[str]) -> bool:
     """More function words of English than of any other of the four languages; without any function word, plain ASCII words count as English."""
-    n = {k: sum(w in s for w in words) for k, s in _SETS.items()}
-    best = max(n.values())
-    if not best:
+    known = [w for w in words if w in _ANY_LANGUAGE]
+    if not known:
         return bool(words) and all(w.isascii() for w in words)
-    return n["en"] == best and all(n["en"] > v for k, v in n.items() if k != "en")
+    n = {k: sum(w in s for w in known) for k, s in _SETS.items()}
+    return all(n["en"] > v for k, v in n.items() if k != "en")
 
 
 def english_words(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -76,8 +77,15 @@ def english_words(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataF
     return rows.dropDuplicates(["doc_id"]).mapInPandas(read, "doc_id bigint, words array<string>")
 
 
+def hashed(words: str) -> Column:
+    """Words as 64-bit hashes: 8 bytes each in every step."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def harmonic(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(doc_id, grade, score): difficulty from the words of each document. docs(doc_id, words, grade), grade null where not graded."""
+    """(doc_id, grade, score): difficulty from the words of each document. docs(doc_id, words, grade), grade null where not graded; words as text or as 64-bit hashes."""
+    if docs.schema["words"].dataType.elementType.simpleString() == "string":
+        docs = docs.withColumn("words", hashed("words"))
     spark = docs.sparkSession
     m = docs.agg(F.avg("grade").alias("m"), F.stddev_pop("grade").alias("s")).first()
     mean, spread = (m.m if m.m is not None else 2.0), (m.s or 0.0)
@@ -104,13 +112,21 @@ def _score(spark, docs: DataFrame, scores: DataFrame, small: bool, mean: float)
     if not small:
         by = docs.select("doc_id", F.explode("words").alias("word")).join(scores, "word", "left").groupBy("doc_id").agg(F.avg(F.coalesce("w", F.lit(mean))).alias("score"))
         return docs.join(by, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(mean)))
-    table = {r.word: r.w for r in scores.collect()}  # at most MAX_WORDS
-    shared = spark.sparkContext.broadcast(table)
+    table = scores.toPandas().sort_values("word")  # at most MAX_WORDS hashes and scores
+    shared = spark.sparkContext.broadcast((table["word"].to_numpy(np.int64), table["w"].to_numpy(np.float64)))
 
     @F.pandas_udf("double")
     def mean_of(ws: pd.Series) -> pd.Series:
-        t = shared.value
-        return ws.map(lambda w: float(np.mean([t.get(x, mean) for x in w])) if len(w) else mean)
+        known, score = shared.value
+        lens = ws.map(len).to_numpy(np.int64)
+        out = np.full(len(ws), mean)
+        some = lens > 0
+        if some.any() and len(known):
+            flat = np.concatenate(ws[some].to_list())
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            values = np.where(known[at] == flat, score[at], mean)
+            out[some] = np.add.reduceat(values, np.r_[0, np.cumsum(lens[some])[:-1]]) / lens[some]
+        return pd.Series(out)
 
     return docs.withColumn("score", mean_of("words"))
 
@@ -137,7 +153,7 @@ def place_cuts(graded: DataFrame, levels: tuple[int, ...] = (1, 2, 3, 4)) -> lis
 def reading_levels(documents: DataFrame, labels: DataFrame, least_chars: int = LEAST_CHARS, iterations: int = ITERATIONS) -> DataFrame:
     """(doc_id, level, score) of every English document of enough characters."""
     grades = labels.where("level is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("level").alias("grade"))
-    docs = materialise(english_words(documents, least_chars).join(grades, "doc_id", "left"), "doc_words")
+    docs = materialise(english_words(documents, least_chars).withColumn("words", hashed("words")).join(grades, "doc_id", "left"), "doc_words")
     if docs.where("grade is not null").limit(1).count() == 0:
         return docs.select("doc_id", F.lit(2).alias("level"), F.lit(2.0).alias("score"))
     scored = materialise(harmonic(docs, iterations), "levels")

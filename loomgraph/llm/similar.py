@@ -35,8 +35,8 @@ from loomgraph.session import materialise
 
 PROJECTIONS, THRESHOLD, SPAN = 16, 5, 0.75
 RADII = (0.2, 0.4, 0.8, 1.6)
-REGION_ROWS, BLOCK_ROWS, QUERY_ROWS, CELL_ROWS = 16_000, 40_000, 64_000, 500
-ROUTES, HOME_PROBES, PROBES = 3, 8, 4
+REGION_ROWS, BLOCK_ROWS, QUERY_ROWS, CELL_ROWS = 16_000, 40_000, 64_000, 200
+ROUTES, HOME_PROBES, PROBES = 3, 10, 4
 #: Pivots of a provider; beyond MAX_PIVOTS times REGION_ROWS vectors (a thousand million) regions grow and are cut into more blocks.
 MAX_PIVOTS = 65_536
 #: Values of pivots that are broadcast at once; providers beyond it are searched one group after the other.

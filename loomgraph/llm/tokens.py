@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import regex
@@ -83,17 +83,24 @@ def _ids(batches: Iterator[pd.DataFrame], keys: list[str], tokenizer_dir: str) -
         yield out
 
 
-def encode_corpus(documents: DataFrame, key: str = "doc_id", tokenizer_dir: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids) of every document."""
-    docs = documents.select(F.col(key).alias("doc_id"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def encode_corpus(documents: DataFrame, key: str = "doc_id", tokenizer_dir: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, ids) of every document, with the columns to keep. A long text travels as chunks, then as pieces: never once per chunk."""
+    docs = documents.select(F.col(key).alias("doc_id"), *keep, "text")
+    named = ["doc_id", *keep]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in named)
     long_text = F.coalesce(F.length("text") > chunk + overlap, F.lit(False))
-    short = docs.where(~long_text).mapInPandas(lambda bs: _ids(bs, ["doc_id"], tokenizer_dir), f"doc_id {kind}, ids array<int>")
+    short = docs.where(~long_text).mapInPandas(lambda bs: _ids(bs, named, tokenizer_dir), f"{kinds}, ids array<int>")
     # Long texts: chunk, scan in parallel, stitch, encode the pieces in parallel.
-    big = materialise(docs.where(long_text).withColumn("n", F.length("text")).withColumn("row", F.monotonically_increasing_id()), "long")
-    starts = F.filter(F.sequence(F.lit(0), F.col("n"), F.lit(chunk)), lambda s: (s == 0) | (s + overlap < F.col("n")))
-    parts = big.withColumn("starts", starts).select("row", "doc_id", "n", F.posexplode("starts").alias("k", "start"), F.size("starts").alias("of"), "text")
-    chunks = parts.select("row", "doc_id", "k", "of", "start", F.expr(f"substring(text, start + 1, if(k + 1 = of, n, {chunk + overlap}))").alias("text")).repartition("row", "k")
+    big = materialise(docs.where(long_text).withColumn("row", F.monotonically_increasing_id()), "long")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row, text in zip(b["row"], b["text"]):
+                starts = [s for s in range(0, len(text), chunk) if s == 0 or s + overlap < len(text)]
+                for k, s in enumerate(starts):  # the last chunk goes to the end
+                    yield pd.DataFrame({"row": [row], "k": [k], "of": [len(starts)], "start": [s], "text": [text[s : s + chunk + overlap] if k + 1 < len(starts) else text[s:]]})
+
+    chunks = big.select("row", "text").mapInPandas(cut, "row bigint, k int, of int, start bigint, text string").repartition("row", "k")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -108,16 +115,15 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", tokenizer_dir: str
     scanned = chunks.mapInPandas(scan, "row bigint, k int, head array<int>, tail array<int>")
     meta = scanned.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "head", "tail"))).alias("chunks"))  # boundaries of overlaps only
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row, cs in zip(b["row"], b["chunks"]):
-                cuts = [0, *[c for c in stitches([list(c["tail"]) for c in cs[:-1]], [list(c["head"]) for c in cs[1:]]) if c is not None]]
-                out += [(row, i, a, z) for i, (a, z) in enumerate(zip(cuts, [*cuts[1:], None]))]
-            yield pd.DataFrame(out, columns=["row", "piece", "lo", "hi"]).astype({"hi": "Int64"})
-
-    pieces = meta.mapInPandas(join, "row bigint, piece int, lo bigint, hi bigint")
-    cut = big.select("row", "doc_id", "n", "text").join(pieces, "row").select("row", "doc_id", "piece", F.expr("substring(text, cast(lo as int) + 1, cast(coalesce(hi, n) - lo as int))").alias("text")).repartition("row", "piece")
-    done = cut.mapInPandas(lambda bs: _ids(bs, ["row", "doc_id", "piece"], tokenizer_dir), f"row bigint, doc_id {kind}, piece int, ids array<int>")
-    whole = done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-    return short.unionByName(whole.select("doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")))
+            for row, text, cs in zip(b["row"], b["text"], b["chunks"]):
+                cuts = [0, *[c for c in stitches([list(c["tail"]) for c in cs[:-1]], [list(c["head"]) for c in cs[1:]]) if c is not None], len(text)]
+                for i, (a, z) in enumerate(zip(cuts, cuts[1:])):
+                    yield pd.DataFrame({"row": [row], "piece": [i], "text": [text[a:z]]})
+
+    pieces = big.select("row", "text").join(meta, "row").mapInPandas(split, "row bigint, piece int, text string").repartition("row", "piece")
+    done = pieces.mapInPandas(lambda bs: _ids(bs, ["row", "piece"], tokenizer_dir), "row bigint, piece int, ids array<int>")
+    whole = done.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    out = big.drop("text").join(whole, "row").select(*named, F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(out)

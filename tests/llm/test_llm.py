@@ -7,6 +7,7 @@ import pytest
 
 from loomgraph.llm import handwritten as H
 from loomgraph.llm import mixing, pii, reading, similar, tokens
+from loomgraph.llm.queries import OWNERS
 from loomgraph.llm.resources import ordinary_words
 
 MODEL = pii.NameModel([f"{g} {f}" for g, f in zip(["Jorethin", "Breluvan", "Delosha", "Quinemi", "Tavodan", "Ildira"] * 4, ["Varnridge", "Skelinger", "Olmovik", "Peñarolt", "Braskessen", "Tullumbra"] * 4)], ordinary_words())
@@ -64,15 +65,15 @@ def hand(rng, k=14):
 def test_evidence():
     rng = random.Random(1)
     code = hand(rng)
-    assert H.evidence(None) == "null" and H.evidence(" \n") == "empty" and H.evidence(code) == "plain"
-    assert H.evidence("# Copyright Harborline Systems\n" + code) == "own"
-    assert H.evidence("// Copyright (c) 2019 The foo Authors.\n" + code) == "foreign"
-    assert H.evidence("# Copyright Harborline\n# Code generated by x 1.2. DO NOT EDIT.\n" + code) == "generated"
-    assert H.evidence("\n".join(f"X_{i:03} = {i * 7 % 250};" for i in range(50))) == "generated"
-    assert H.evidence("var a=b[1],c=!0;" + "function d(e,f){return g(h)||i.j}" * 60) == "minified"
-    assert H.evidence('DATA = "' + "aZ09+/" * 200 + '"\n') == "data"
-    assert H.evidence(code + '\nSAMPLE = "' + "aZ09+/" * 60 + '"\n' + hand(rng)) == "plain"
-    assert H.evidence("# TODO: move the generated client out of here once the vendor ships v3\n" + code) == "plain"
+    assert H.evidence(None, OWNERS) == "null" and H.evidence(" \n", OWNERS) == "empty" and H.evidence(code, OWNERS) == "plain"
+    assert H.evidence("# Copyright Harborline Systems\n" + code, OWNERS) == "own"
+    assert H.evidence("// Copyright (c) 2019 The foo Authors.\n" + code, OWNERS) == "foreign"
+    assert H.evidence("# Copyright Harborline\n# Code generated by x 1.2. DO NOT EDIT.\n" + code, OWNERS) == "generated"
+    assert H.evidence("\n".join(f"X_{i:03} = {i * 7 % 250};" for i in range(50)), OWNERS) == "generated"
+    assert H.evidence("var a=b[1],c=!0;" + "function d(e,f){return g(h)||i.j}" * 60, OWNERS) == "minified"
+    assert H.evidence('DATA = "' + "aZ09+/" * 200 + '"\n', OWNERS) == "data"
+    assert H.evidence(code + '\nSAMPLE = "' + "aZ09+/" * 60 + '"\n' + hand(rng), OWNERS) == "plain"
+    assert H.evidence("# TODO: move the generated client out of here once the vendor ships v3\n" + code, OWNERS) == "plain"
 
 
 def test_attributes_by_precedence():
@@ -94,9 +95,9 @@ def test_not_handwritten(spark):
     rows += [("/r7/core/own.py", own), ("/r8/core/own_copy.py", own), ("/r7/vendor_portal/a.py", hand(rng)), ("/r8/vendor_portal/b.py", None), ("/r8/empty.py", ""), (None, "x")]
     rows += [("/r9/.gitattributes", "gen/*.py linguist-generated\n"), ("/r9/gen/a.py", hand(rng))]
     df = spark.createDataFrame(rows + rows[:3], "file_path string, content string").selectExpr("*", "1 as shown", "'z' as body")
-    got = {r.file_path for r in H.not_handwritten(df).collect()}
+    got = {r.file_path for r in H.not_handwritten(df, OWNERS).collect()}
     assert got == {f"/r{i}/vendor/foo/{j}.py" for i in range(3) for j in range(4)} | {"/r5/vendor/foo/unmarked.py", "/r6/vendor/foo/unread.py", "/r7/core/copy.py", "/r7/core/changed.py", "/r9/gen/a.py"}
-    assert H.not_handwritten(df.limit(0)).count() == 0
+    assert H.not_handwritten(df.limit(0), OWNERS).count() == 0
 
 
 def brute(vs, k, least):
@@ -217,3 +218,38 @@ def test_similar_over_several_cells_and_regions(spark, monkeypatch):
         got = {(r["name"], r["other"]) for r in similar.nearest(df, 5, floor, queries=queries).collect()}
         assert len(got) <= 250 and {a for a, _ in got} <= {f"n{i:04}" for i in asked}
         assert len(want & got) >= 0.95 * len(want)
+
+
+def test_small_sources_are_used_whole(spark):
+    docs = [(i, "big", 500) for i in range(40)] + [(100 + i, "tiny", 101) for i in range(4)] + [(None, "tiny", 7), (200, "dust", 600), (0, "big", 500)]
+    sizes = spark.createDataFrame(docs, "doc_id bigint, source string, n bigint")
+    targets = spark.createDataFrame([("big", 0.89, 1), ("tiny", 0.1, 5), ("dust", 0.001, 1)], "source string, target_share double, max_repeats int")
+    mixture, report = mixing.mix(None, targets, sizes=sizes, shards=3)
+    r = {x.source: x for x in report.collect()}
+    assert (r["tiny"].tokens_available, r["tiny"].tokens_used, r["tiny"].passes, r["tiny"].tokens_without_id) == (404, 2020, 5.0, 7)
+    assert r["dust"].tokens_used == 512 and r["big"].tokens_missing + r["big"].tokens_used <= 20_000
+    used, places = {}, set()
+    rows = mixture.collect()
+    for x in rows:
+        used[x.source] = used.get(x.source, 0) + x.doc_to - x.doc_from
+        places.add((x.shard, x.slot))
+    assert used == {s: x.tokens_used for s, x in r.items()}
+    assert len(places) == len({(x.source, x["pass"], x.block) for x in rows}) and {p[0] for p in places} == {0, 1, 2}
+
+
+def test_precedence_counts_the_depth_of_folders():
+    from loomgraph.llm import handwritten as h
+
+    rules = [("", "*.js linguist-generated"), ("a", "*.js -linguist-generated")]
+    assert h.resolve_attributes("a/x.js", rules) is False and h.resolve_attributes("a/x.js", rules[::-1]) is False
+    assert h.resolve_attributes("b/x.js", rules) is True and h.resolve_attributes("docs/x.md", [("", "docs/** linguist-documentation")]) is None
+
+
+def test_marks_below_a_long_licence_are_seen():
+    from loomgraph.llm import handwritten as h
+
+    line = "// Permission is granted to whom it may concern.\n"
+    for n in (2, 17, 60):
+        assert h.evidence(line * n + "// Code generated by protoc-gen-go v1.2. DO NOT EDIT.\n" + "func f() {}\n", ()) == "generated"
+    block = "/*\n" + " Permission is granted to whom it may concern.\n" * 20 + " Copyright Other Corp\n*/\nint main() { return 0; }\n"
+    assert h.evidence(block, ("Harborline",)) == "foreign" and h.evidence(block, ("Other Corp",)) == "own"
