@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 from loomgraph.session import materialise
 
+ROUNDS, LEVELS = 10, 3
 # Words too common to name a community.
 COMMON_WORDS = "get set self init new create update delete add remove make build from to for with the and test main run do is has on of in at by my this that all none should when then given return returns raise raises expect expected assert tests be it if not".split()
 
@@ -43,7 +44,8 @@ def cohesion(members: DataFrame, e: DataFrame) -> DataFrame:
     size = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
     a = members.select(F.col("qualified_name").alias("source_qualified"), F.col("community").alias("ca"))
     b = members.select(F.col("qualified_name").alias("target_qualified"), F.col("community").alias("cb"))
-    j = e.select("source_qualified", "target_qualified").join(a, "source_qualified", "left").join(b, "target_qualified", "left").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("n"))
+    by_source = e.join(a, "source_qualified", "left").groupBy("ca", "target_qualified").agg(F.count(F.lit(1)).alias("n"))  # a hot target is a row per community from here
+    j = by_source.join(b, "target_qualified", "left").groupBy("ca", "cb").agg(F.sum("n").alias("n"))
     inside = j.where("ca = cb").select(F.col("ca").alias("community"), F.col("n").alias("i"), F.lit(0).alias("x"))
     outside = j.where("ca is distinct from cb").select(F.explode(F.array_compact(F.array("ca", "cb"))).alias("community"), F.lit(0).alias("i"), F.col("n").alias("x"))
     g = inside.unionByName(outside).groupBy("community").agg(F.sum("i").alias("internal"), F.sum("x").alias("external"))
@@ -65,8 +67,9 @@ def pair_edges(members: DataFrame, e: DataFrame) -> DataFrame:
     """(a, b, kind, n): edges between two communities, tests aside, per unordered pair and kind."""
     m1 = members.select(F.col("qualified_name").alias("source_qualified"), F.col("community").alias("ca"))
     m2 = members.select(F.col("qualified_name").alias("target_qualified"), F.col("community").alias("cb"))
-    x = e.where("coalesce(kind, '') <> 'TESTED_BY'").join(m1, "source_qualified").join(m2, "target_qualified").where("ca <> cb")
-    return x.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    by_source = e.where("coalesce(kind, '') <> 'TESTED_BY'").join(m1, "source_qualified").groupBy("ca", "target_qualified", "kind").agg(F.count(F.lit(1)).alias("n"))  # a hot target is a row per community and kind from here
+    x = by_source.join(m2, "target_qualified").where("ca <> cb")
+    return x.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "kind").agg(F.sum("n").alias("n"))
 
 
 def test_named(name: Column) -> Column:
@@ -110,29 +113,79 @@ def modularity_graph(n: DataFrame, e: DataFrame) -> DataFrame:
     return p.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(first.alias("w"))
 
 
-def modularity(graph: DataFrame, rounds: int = 8, resolution: float | None = None) -> DataFrame:
-    """(id, community): synchronous local moving. In each round a half of the nodes, by hash, moves to the neighbouring community of the greatest gain, ties to the least id.
-
-    Work per round is one join and two aggregations over the edges; a hub's edges are summed per community before they meet."""
+def modularity(graph: DataFrame, rounds: int = ROUNDS, levels: int = LEVELS, resolution: float | None = None) -> DataFrame:
+    """(id, community): local moving until no node moves (at most `rounds` rounds), communities contracted to nodes of the next level, for at most `levels` levels; communities that are not connected are split at last. A community is named by its least id."""
     both = materialise(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "edges")
     deg = materialise(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "degrees")
     total = deg.agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("n")).first()
     if not total.m:
         return deg.select("id", F.col("id").alias("community"))
     gamma = resolution if resolution is not None else max(0.05, 1 / math.log10(max(total.n, 10)))
-    comm = deg.select("id", F.col("id").alias("community"), "k")
+    edges, nodes, place = both, deg, None
+    for _ in range(levels):
+        moved, comm = _local_moving(edges, nodes, gamma, total.m, rounds)
+        place = comm.select("id", "community") if place is None else materialise(place.join(comm.select(F.col("id").alias("community"), F.col("community").alias("upper")), "community").select("id", F.col("upper").alias("community")), "place")
+        if not moved:
+            break
+        c = lambda x: comm.select(F.col("id").alias(x), F.col("community").alias(f"c{x}"))  # noqa: B023,E731
+        edges = materialise(edges.join(c("a"), "a").join(c("b"), "b").where("ca <> cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "edges")
+        nodes = materialise(comm.groupBy(F.col("community").alias("id")).agg(F.sum("k").alias("k")), "degrees")
+    return connected_parts(both, place)
+
+
+def _local_moving(both: DataFrame, nodes: DataFrame, gamma: float, m: float, rounds: int) -> tuple[int, DataFrame]:
+    """(moves, (id, community, k)): synchronous moves. In each round a half of the nodes, by hash, moves to the neighbouring community of the greatest gain, ties to the least id.
+
+    Work per round is one join and two aggregations over the edges; a hub's edges are summed per community before they meet. The
+    totals of communities are joined to one row per node and neighbouring community."""
+    comm, moves = nodes.select("id", F.col("id").alias("community"), "k"), 0
     for r in range(rounds):
         tot = comm.groupBy("community").agg(F.sum("k").alias("tot"))
         near = both.join(comm.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("inside"))
         mine = comm.withColumnRenamed("community", "own")
         cand = near.join(mine, "id").join(tot, "community")
         minus = F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("inside") - gamma * F.col("k") * (F.col("tot") - minus) / total.m, 9)
+        gain = F.round(F.col("inside") - gamma * F.col("k") * (F.col("tot") - minus) / m, 9)
         best = cand.withColumn("gain", gain).groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("g"), (F.col("community") != F.col("own")).alias("moved"), "community")).alias("b"))
         turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        step = comm.join(best, "id", "left").select("id", F.when(turn & (F.col("b.g") < 0), F.col("b.community")).otherwise(F.col("community")).alias("community"), "k")
-        comm = materialise(step, "communities")
-    return comm.select("id", "community")
+        step = comm.join(best, "id", "left").select("id", F.when(turn & (F.col("b.g") < 0), F.col("b.community")).otherwise(F.col("community")).alias("community"), "k", (F.coalesce(F.col("b.g") < 0, F.lit(False)) & F.coalesce("b.moved", F.lit(False))).alias("wants"))
+        seen = Observation()
+        comm = materialise(step.observe(seen, F.count(F.when(F.col("wants"), 1)).alias("wants")), "communities").drop("wants")
+        wants = seen.get["wants"]
+        moves += wants
+        if not wants:
+            break
+    return moves, comm
+
+
+def connected_parts(both: DataFrame, comm: DataFrame) -> DataFrame:
+    """(id, community): each connected part of a community under its least id: the least label spreads over edges and along labels, so that the number of rounds grows with the logarithm of a part's width."""
+    c = lambda x: comm.select(F.col("id").alias(x), F.col("community").alias(f"c{x}"))
+    inside = materialise(both.select("a", "b").join(c("a"), "a").join(c("b"), "b").where("ca = cb").select("a", "b"), "inside")
+    label = comm.select("id", F.col("id").alias("label"))
+    while True:
+        least = inside.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        hop = materialise(label.join(least, "id", "left").select("id", "label", F.least("label", "near").alias("new")), "hop")
+        jump = hop.join(hop.select(F.col("id").alias("new"), F.col("new").alias("further")), "new")
+        seen = Observation()
+        step = jump.select("id", F.least("new", "further").alias("next"), "label")
+        done = materialise(step.observe(seen, F.count(F.when(F.col("next") != F.col("label"), 1)).alias("moved")), "labels")
+        label = done.select("id", F.col("next").alias("label"))
+        if not seen.get["moved"]:
+            return label.select("id", F.col("label").alias("community"))
+
+
+def split_oversized(graph: DataFrame, comm: DataFrame, share: float = 0.25, least: int = 10, resolution: float = 0.5) -> DataFrame:
+    """(id, community): communities of more than `share` of all members (and more than `least`) are divided by modularity within themselves; a community that does not fall apart stays."""
+    sizes = materialise(comm.groupBy("community").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    big = sizes.where(F.col("size") > max(int(total * share), least)).select("community")  # at most 1 / share rows
+    if big.limit(1).count() == 0:
+        return comm
+    inside = comm.join(F.broadcast(big), "community")
+    c = lambda x: inside.select(F.col("id").alias(x), F.col("community").alias(f"c{x}"))
+    part = modularity(graph.join(c("a"), "a").join(c("b"), "b").where("ca = cb").select("a", "b", "w"), resolution=resolution)
+    return comm.join(part.withColumnRenamed("community", "part"), "id", "left").select("id", F.coalesce("part", "community").alias("community"))
 
 
 def modularity_score(graph: DataFrame, comm: DataFrame) -> DataFrame:

@@ -69,6 +69,24 @@ def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys.select(on).distinct(), on, "left_semi")
 
 
+def nodes_by_name(n: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(asked) with the node of that name: the exact one, else the one of the name read with slashes. Any number of names."""
+    a = asked.where("asked is not null").select("asked").distinct().withColumn("posix", posix_name(F.col("asked")))
+    exact = a.join(n, F.col("asked") == F.col("qualified_name"))
+    again = a.join(exact.select("asked"), "asked", "left_anti").join(n, F.col("posix") == F.col("qualified_name"))
+    return exact.unionByName(again.select(*exact.columns)).drop("posix")
+
+
+def edges_at(e: DataFrame, asked: DataFrame, side: str) -> DataFrame:
+    """Edges out of (side source_qualified) or into (target_qualified) the names asked(qualified_name)."""
+    return e.join(asked.where("qualified_name is not null").select(F.col("qualified_name").alias(side)).distinct(), side, "left_semi")
+
+
+def community_of(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qualified_name, community) of the names asked(qualified_name); null for a name in none."""
+    return asked.where("qualified_name is not null").select("qualified_name").distinct().join(members, "qualified_name", "left").select("qualified_name", "community")
+
+
 def edges_with_source(e: DataFrame, n: DataFrame, kind: str = "CALLS") -> DataFrame:
     """Edges of a kind with the kind, name, file and language of the node they come from."""
     src = n.select(F.col("qualified_name").alias("source_qualified"), F.col("kind").alias("source_kind"), F.col("name").alias("source_name"), F.col("language").alias("source_language"))

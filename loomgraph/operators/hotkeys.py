@@ -4,7 +4,7 @@ Everything here is distributed exact selection over mergeable counts: values (or
 histogram, partial counts are merged, the bin that holds the wanted rank is refined, until ranks resolve. Values of a hot key
 are never gathered: a task sees counts of bins.
 
-Defined results: rows with a null key are in no group; rows with a null id count nowhere; ids delivered again count once; an
+Defined results: rows with a null key are in no group; rows with a null id count nowhere; ids delivered again count once, and one that comes with several values counts once for each; an
 empty table gives no groups. Null values are not ranked, and a key of null values only has null quantiles. Ties share a rank
 range, so the quantile is the value at rank ceil(p * n). Further columns are ignored.
 """
@@ -112,7 +112,7 @@ def key_profile(edges: DataFrame, probs: Sequence[float] = (0.5, 0.9)) -> DataFr
     h = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
     keys = ["k1", "k2"]
     slim = rows.select("id", k1.alias("k1"), k2.alias("k2"), h("source_qualified").alias("s"), h("file_path").alias("f"), F.col("line").cast("long").alias("line"))
-    once = slim.groupBy("id").agg(*[F.min(c).alias(c) for c in ("k1", "k2", "s", "f", "line")])
+    once = slim.distinct()  # rows given again are equal
     cells = materialise(once.groupBy(*keys, "s", "f", "line").agg(F.count(F.lit(1)).alias("n")), "cells")
     callers = cells.where("s is not null").groupBy(*keys, "s").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("callers"))
     files = cells.where("f is not null").groupBy(*keys, "f").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))

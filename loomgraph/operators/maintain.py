@@ -31,6 +31,12 @@ def purge(n: DataFrame, e: DataFrame, vectors: DataFrame, files: DataFrame) -> t
     return n.join(f, "file_path", "left_anti"), edges, vectors.join(gone, "qualified_name", "left_anti")
 
 
+def path_marks(steps: DataFrame) -> DataFrame:
+    """(entry, path): what tells the node sets of flows apart: their number, ends and two mixed hashes. steps(entry, node), each pair once."""
+    h = lambda k: F.bit_xor(F.xxhash64("node", F.lit(k)))
+    return steps.groupBy("entry").agg(F.struct(F.count("node"), F.min("node"), F.max("node"), h(1), h(2)).cast("string").alias("path"))
+
+
 def merge_flows(old: DataFrame, new: DataFrame) -> DataFrame:
     """(entry, action): stored flows against traced ones (entry, path): keep where the path is the same, else update, insert or delete."""
     j = old.select("entry", F.col("path").alias("a")).join(new.select("entry", F.col("path").alias("b")), "entry", "full")

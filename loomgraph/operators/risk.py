@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,13 @@ from loomgraph.functions.names import below_checkout
 
 # Methods that frameworks call around tests, exempt from test gaps.
 LIFECYCLE = "setUp tearDown setUpClass tearDownClass setup_method teardown_method setup teardown __init__ __enter__ __exit__ constructor".split()
-# Tools of a session and the intent they show, for the intent of recent calls.
-INTENTS = {"view": "explore", "click": "navigate", "purchase": "act", "error": "debug", "signup": "start"}
+# The tools that show what a session is for.
+INTENTS = {
+    "reviewing": ("detect_changes", "get_review_context", "get_affected_flows", "get_impact_radius"),
+    "debugging": ("query_graph", "get_flow", "semantic_search_nodes"),
+    "refactoring": ("refactor", "find_dead_code", "suggest_refactorings"),
+    "exploring": ("list_communities", "get_architecture_overview", "list_flows", "list_graph_stats"),
+}
 
 
 def churn(edges: DataFrame) -> DataFrame:
@@ -104,15 +111,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return b.join(a, key, "left_anti").select(F.lit("added").alias("change"), key).unionByName(a.join(b, key, "left_anti").select(F.lit("removed").alias("change"), key))
 
 
-def intents(events: DataFrame, back: int = 10) -> DataFrame:
-    """(event_id, intent): what a session's last calls are for: the commonest intent of its last ten, ties by name."""
-    c = F.lit("other")
-    for k, v in INTENTS.items():
-        c = F.when(F.col("event_type") == k, F.lit(v)).otherwise(c)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-(back - 1), 0)
-    x = events.withColumn("intent", c)
-    kinds = sorted(set(INTENTS.values()) | {"other"})
-    for k in kinds:
-        x = x.withColumn(f"n_{k}", F.count(F.when(F.col("intent") == k, 1)).over(w))
-    best = F.array_min(F.array(*[F.struct((-F.col(f"n_{k}")).alias("n"), F.lit(k).alias("k")) for k in kinds]))
-    return x.select("event_id", best["k"].alias("intent"))
+def intents(calls: DataFrame, tools: dict[str, Sequence[str]] | None = None, back: int = 10, tool: str = "event_type", session: str = "user_id") -> DataFrame:
+    """(event_id, intent): what a session is for at each call: the intent most of its last ten calls show, the first of equal ones; exploring if none does."""
+    tools = INTENTS if tools is None else tools
+    w = Window.partitionBy(session).orderBy("ts", "event_id").rowsBetween(-(back - 1), 0)
+    counts = [F.struct((-F.count(F.when(F.col(tool).isin(*names), 1)).over(w)).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, names) in enumerate(tools.items())]
+    best = calls.select("event_id", F.array_min(F.array(*counts)).alias("b"))
+    return best.select("event_id", F.when(F.col("b.n") == 0, "exploring").otherwise(F.col("b.k")).alias("intent"))

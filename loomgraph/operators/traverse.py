@@ -77,19 +77,28 @@ def impact_reasons(e: DataFrame, seeds: DataFrame, hit: DataFrame) -> DataFrame:
     return links.groupBy("qualified_name").agg(F.min(F.struct((-w).alias("o"), F.coalesce("kind", F.lit("")).alias("kind"), "via")).alias("b")).select("qualified_name", "b.kind", "b.via")
 
 
+def owners(n: DataFrame, e: DataFrame) -> DataFrame:
+    """(owner, qualified_name): each node with itself, classes with what they contain, files with their classes and functions."""
+    own = n.select(F.col("qualified_name").alias("owner"), "qualified_name")
+    classes = n.where("kind = 'Class'").select(F.col("qualified_name").alias("source_qualified"))
+    held = e.where("kind = 'CONTAINS' and target_qualified is not null").join(classes, "source_qualified").select(F.col("source_qualified").alias("owner"), F.col("target_qualified").alias("qualified_name"))
+    files = n.where("kind = 'File'").select("file_path", F.col("qualified_name").alias("owner"))
+    symbols = n.where("kind in ('Class', 'Function', 'Method')").select("file_path", "qualified_name").join(files, "file_path").select("owner", "qualified_name")
+    return own.unionByName(held).unionByName(symbols).distinct()
+
+
 def transitive_tests(n: DataFrame, e: DataFrame, depth: int = 1) -> DataFrame:
-    """(qualified_name, test, hops): tests of each symbol by its own edges (0), else through what it calls, up to `depth` hops; the fewest hops count."""
-    tested = e.where("kind = 'TESTED_BY' and source_qualified is not null and target_qualified is not null").select(F.col("source_qualified").alias("qualified_name"), F.col("target_qualified").alias("test")).distinct()
+    """(qualified_name, test, hops): tests of each node by its own edges or those of its members, for classes and files (0), else through what these call, up to `depth` hops; the fewest hops count. Tests without a record are none."""
+    real = n.select(F.col("qualified_name").alias("test"))
+    tested = e.where("kind = 'TESTED_BY' and source_qualified is not null and target_qualified is not null").select(F.col("source_qualified").alias("qualified_name"), F.col("target_qualified").alias("test")).distinct().join(real, "test", "left_semi").select("qualified_name", "test")
     calls = e.where("kind = 'CALLS' and source_qualified is not null and target_qualified is not null").select(F.col("source_qualified").alias("caller"), F.col("target_qualified").alias("qualified_name")).distinct()
-    own = n.select("qualified_name")
-    out = tested.join(own, "qualified_name", "left_semi").withColumn("hops", F.lit(0))
-    level = out.select("qualified_name", "test")
+    out, level = tested.withColumn("hops", F.lit(0)), tested
     for k in range(1, depth + 1):
         level = calls.join(level, "qualified_name").select(F.col("caller").alias("qualified_name"), "test").distinct()
         out = out.unionByName(level.withColumn("hops", F.lit(k)))
         if k < depth:
             level = materialise(level, "tests")
-    return out.join(own, "qualified_name", "left_semi").groupBy("qualified_name", "test").agg(F.min("hops").alias("hops"))
+    return owners(n, e).join(out, "qualified_name").groupBy(F.col("owner").alias("qualified_name"), "test").agg(F.min("hops").alias("hops"))
 
 
 def entry_points(n: DataFrame, e: DataFrame, include_tests: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from loomgraph.functions import rules
 from loomgraph.functions.names import below_checkout
 from loomgraph.operators import graph as G
 from loomgraph.operators import patterns as P
-from loomgraph.plans.registry import IGNORED_SQL, Registry
+from loomgraph.plans.registry import _POSIX, IGNORED_SQL, Registry
 
 R = Registry()
 q = R.add
@@ -42,6 +42,36 @@ def _(t, n, e):
     return G.file_test_flags(n)
 
 
+@q("b1_nodes_by_name", f", a AS (SELECT DISTINCT qualified_name AS asked, {_POSIX.format('qualified_name')} AS posix FROM node_tombstones WHERE qualified_name IS NOT NULL) SELECT asked, coalesce(x.id, y.id) AS id, coalesce(x.kind, y.kind) AS kind FROM a LEFT JOIN n x ON x.qualified_name = asked LEFT JOIN n y ON y.qualified_name = posix WHERE x.id IS NOT NULL OR y.id IS NOT NULL", graph=True)
+def _(t, n, e):
+    return G.nodes_by_name(n, t("node_tombstones").select(F.col("qualified_name").alias("asked"))).select("asked", "id", "kind")
+
+
+@q("b2_nodes_of_files", "SELECT id, qualified_name FROM n WHERE file_path IN (SELECT file_path FROM source_files)", graph=True)
+def _(t, n, e):
+    return G.semi(n, t("source_files"), "file_path").select("id", "qualified_name")
+
+
+@q("b3_nodes_by_id", "SELECT id, qualified_name, kind FROM n WHERE id IN (SELECT node_id FROM flow_memberships WHERE node_id IS NOT NULL)", graph=True)
+def _(t, n, e):
+    return G.semi(n, t("flow_memberships").select(F.col("node_id").alias("id")), "id").select("id", "qualified_name", "kind")
+
+
+@q("b7_edges_out", "SELECT id, source_qualified, target_qualified FROM e WHERE source_qualified IN (SELECT qualified_name FROM n WHERE id IN (SELECT entry_point_id FROM flows))", graph=True)
+def _(t, n, e):
+    return G.edges_at(e, G.semi(n, t("flows").select(F.col("entry_point_id").alias("id")), "id"), "source_qualified").select("id", "source_qualified", "target_qualified")
+
+
+@q("b8_edges_in", "SELECT id, source_qualified, target_qualified FROM e WHERE target_qualified IN (SELECT qualified_name FROM n WHERE id IN (SELECT entry_point_id FROM flows))", graph=True)
+def _(t, n, e):
+    return G.edges_at(e, G.semi(n, t("flows").select(F.col("entry_point_id").alias("id")), "id"), "target_qualified").select("id", "source_qualified", "target_qualified")
+
+
+@q("b19_node_ids_of_files", "SELECT file_path, list_sort(list(id)) AS ids FROM n WHERE file_path IN (SELECT file_path FROM source_files) GROUP BY 1", graph=True)
+def _(t, n, e):
+    return G.semi(n, t("source_files"), "file_path").groupBy("file_path").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # the symbols of one file
+
+
 @q("b5_nodes_by_kind", "SELECT qualified_name, kind FROM n WHERE kind IN ('Function', 'Class') AND contains(file_path, '/src/')", graph=True)
 def _(t, n, e):
     return G.nodes_by_kind(n, ["Function", "Class"], "/src/").select("qualified_name", "kind")

