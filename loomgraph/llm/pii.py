@@ -73,6 +73,8 @@ _DOT = r"(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|&#46;|&period;)\s?)"
 _SPOKEN = r"(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\s+dot\s+)"
 _LOCAL = r"[\w](?:[\w.+\-]*[\w])?"
 _DISGUISED = re.compile(rf"({_LOCAL})({_AT}|\s+at\s+)({_LABEL}(?:{_SPOKEN}{_LABEL})+)", re.I)
+_SPELLED_AT = ("(at)", "[at]", "{at}", "<at>", "&#64;", "&#x40;", "&commat;", "%40")
+_SPACED_AT = re.compile(r"\s@|@\s")
 _PLAIN_AT = re.compile(r"\s+at\s+", re.I)
 _SPELLED_DOT = re.compile(r"\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\s+dot\s+", re.I)
 
@@ -95,10 +97,12 @@ def fold(text: str) -> Folded:
     f = Folded(text, None)
     edits = [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _fold_char(m.group())) != m.group()]
     f = f.edit(edits)
-    f = f.edit([(m.start(), m.end(), "".join(DIGIT_WORDS[w] for w in re.findall(r"[a-z]+", m.group().lower()))) for m in _SPELLED.finditer(f.text)])
-    edits = []
     low = f.text.lower()
-    if "@" in low or "at" in low or "64;" in low or "%40" in low or "40;" in low:
+    if sum(map(low.count, DIGIT_WORDS)) >= 5:
+        f = f.edit([(m.start(), m.end(), "".join(DIGIT_WORDS[w] for w in re.findall(r"[a-z]+", m.group().lower()))) for m in _SPELLED.finditer(f.text)])
+        low = f.text.lower()
+    edits = []
+    if any(x in low for x in _SPELLED_AT) or ("dot" in low and ("@" in low or "at" in low)) or ("@" in low and _SPACED_AT.search(low)):  # nothing else is rewritten below
         for m in _DISGUISED.finditer(f.text):
             at, host = m.group(2), m.group(3)
             dots = list(_SPELLED_DOT.finditer(host))
@@ -185,6 +189,7 @@ class NameModel:
         self.odds = {g: math.log((pos.get(g, 0) + 0.05) / (np_ + 0.05 * v)) - math.log((neg.get(g, 0) + 0.5) / (nn + 0.5 * v)) for g in grams}
         self.unseen = -1.0
         self.cache: dict[str, float] = {}
+        self.begins: dict[str, bool] = {}
 
     @staticmethod
     def _counts(tokens: Iterable[str]) -> dict[str, int]:
@@ -199,6 +204,13 @@ class NameModel:
         s = f"^{t}$"
         return [s[i : i + 3] for i in range(len(s) - 2)]
 
+    def may_begin(self, word: str) -> bool:
+        """Whether a name can begin with a token: an initial, a particle, or what looks like a name."""
+        ok = len(word) == 1 or self.score(word) > 0 or word.lower() in PARTICLES
+        if len(self.begins) < 200_000:
+            self.begins[word] = ok
+        return ok
+
     def score(self, token: str) -> float:
         """Mean log-odds of a token; above 0 it looks like a name."""
         t = token.lower()
@@ -236,14 +248,18 @@ def find_names(text: str, model: NameModel, taken: list[tuple[int, int]]) -> lis
     hide = bytearray(n)
     for a, b in taken:
         hide[a:b] = b"\x01" * (b - a)
+    begins = model.begins
     for m in _TOKEN.finditer(text):
-        a, word = m.start(), m.group()
+        word = m.group()
+        ok = begins.get(word)
+        if ok is None:
+            ok = model.may_begin(word)
+        if not ok:
+            continue
+        a = m.start()
         if a < pos or hide[a]:
             continue
-        if len(word) == 1:
-            if text[a + 1 : a + 2] != ".":
-                continue
-        elif model.score(word) <= 0 and word.lower() not in PARTICLES:
+        if len(word) == 1 and text[a + 1 : a + 2] != ".":
             continue
         if a and (text[a - 1] in "@.-_" or text[a - 1].isdigit()):
             continue
@@ -277,6 +293,9 @@ def _judge(text: str, a: int, model: NameModel) -> int | None:
     return None
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def find(text: str, model: NameModel) -> list[tuple[str, int, int]]:
     """(type, start, end) of each personal value in a text, in source positions and in order; longer kinds win over their parts."""
     if not text:
@@ -297,7 +316,7 @@ def find(text: str, model: NameModel) -> list[tuple[str, int, int]]:
         for m in _EMAIL.finditer(t):
             if not re.match(r"git@", m.group(), re.I) or t[m.end() : m.end() + 1] not in (":", "/"):
                 take("email", *m.span())
-    if any(c.isdigit() for c in t):
+    if _DIGIT.search(t):
         for m in _ADDRESS.finditer(t):
             base = m.group("base")
             if base and (base.split()[0].lower() in SOFTWARE or _AFTER_STREET.match(t, m.end())):
