@@ -86,6 +86,15 @@ def overview(members: DataFrame, e: DataFrame) -> DataFrame:
     return g.select("a", "b", "edges", F.transform("t", lambda s: F.coalesce(s["kind"], F.lit("-"))).alias("top_kinds"), ((F.col("edges") > 10) & ~test_named(F.col("a")) & ~test_named(F.col("b"))).alias("warning"))
 
 
+def top_folders(members: DataFrame, n: DataFrame, depth: int = 2, k: int = 2) -> DataFrame:
+    """(community, folder, share, place): the k folders, cut at a depth, that hold most members of each community."""
+    f = members.join(n.select("qualified_name", "file_path"), "qualified_name")
+    counts = f.groupBy("community", F.array_join(F.slice(dirs(F.col("file_path")), 1, depth), "/").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("community").agg(F.sum("n").alias("total"))
+    w = Window.partitionBy("community").orderBy(F.desc("n"), "folder")  # a row per folder
+    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).join(total, "community").select("community", "folder", F.round(F.col("n") / F.col("total"), 4).alias("share"), "place")
+
+
 def names(members: DataFrame, n: DataFrame) -> DataFrame:
     """(community, name): its commonest directory, with a class that holds more than 40 % of it, else its commonest word; equal names get numbers, the largest first."""
     f = members.join(n.select("qualified_name", "file_path", "kind", "name"), "qualified_name")

@@ -68,6 +68,28 @@ def unsummarised(o: DataFrame, least: int = 3, limit: int = 20) -> DataFrame:
     return g.join(done, "session", "left_anti").orderBy(F.desc("last_at"), "session").limit(limit)
 
 
+def waiting_sessions(o: DataFrame, now: Column | None = None) -> DataFrame:
+    """(session, settles_at): sessions whose last row is less than thirty minutes before `now` (the latest row of all)."""
+    s = session_stats(o)
+    if now is None:
+        s = s.join(F.broadcast(o.agg(F.max("created_at").alias("_now"))))  # a single row
+        now = F.col("_now")
+    return s.where(F.col("settles_at") > now).select("session", "settles_at")
+
+
+def pending_summaries(o: DataFrame, least: int = 3, limit: int = 3) -> DataFrame:
+    """(session, rows, last_at): the latest settled sessions of at least `least` rows without a summary (a top-k report)."""
+    settled = o.where("session is not null").join(waiting_sessions(o).select("session"), "session", "left_anti")
+    return unsummarised(settled, least, limit)
+
+
+def best_logs(o: DataFrame) -> DataFrame:
+    """(session, platform_source, replies): of the logs that recorded a session the one with most replies, ties by name."""
+    g = o.where("session is not null and lower(trim(kind)) <> 'prompt'").groupBy("session", "platform_source").agg(F.count(F.lit(1)).alias("replies"))
+    best = g.groupBy("session").agg(F.min(F.struct((-F.col("replies")).alias("n"), F.col("platform_source").isNotNull().alias("named"), "platform_source")).alias("b"))
+    return best.select("session", "b.platform_source", (-F.col("b.n")).alias("replies"))
+
+
 def recent_documents(o: DataFrame, k: int = 5) -> DataFrame:
     """(session, id, place): the k latest rows of each session, in order of time."""
     w = Window.partitionBy("session").orderBy(F.desc("created_at"), F.desc("id"))

@@ -111,6 +111,12 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return b.join(a, key, "left_anti").select(F.lit("added").alias("change"), key).unionByName(a.join(b, key, "left_anti").select(F.lit("removed").alias("change"), key))
 
 
+def edge_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(change, key): added and removed edges, nulls compared as equal."""
+    a, b = before.select(*key).distinct(), after.select(*key).distinct()
+    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
+
+
 def intents(calls: DataFrame, tools: dict[str, Sequence[str]] | None = None, back: int = 10, tool: str = "event_type", session: str = "user_id") -> DataFrame:
     """(event_id, intent): what a session is for at each call: the intent most of its last ten calls show, the first of equal ones; exploring if none does."""
     tools = INTENTS if tools is None else tools

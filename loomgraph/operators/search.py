@@ -215,6 +215,12 @@ def embedding_text(n: DataFrame) -> DataFrame:
     return n.where("kind <> 'File'").select("qualified_name", text.alias("text"), F.sha2(text, 256).alias("text_hash"))
 
 
+def stale_texts(texts: DataFrame, vectors: DataFrame, provider: str) -> DataFrame:
+    """Texts to embed (again): those without a vector of the provider, or whose vector is of another text. texts(qualified_name, text, text_hash)."""
+    have = vectors.where(F.col("provider") == provider).select("qualified_name", "text_hash").distinct()
+    return texts.join(have, ["qualified_name", "text_hash"], "left_anti")
+
+
 def grep_rank(files: DataFrame, terms: list[str], k: int = 10, key: str = "file_path", text: str = "content") -> DataFrame:
     """(doc, hits): files with the most occurrences of the terms, ties by path (a top-k report)."""
     hits = F.lit(0)

@@ -282,6 +282,15 @@ def dependents(n: DataFrame, e: DataFrame, hops: int = 2) -> DataFrame:
     return out.groupBy("file", "dependent").agg(F.min("hops").alias("hops"))
 
 
+def flows_by_name(flows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, flow_id, name): the first flow, by id, whose name holds each asked string, in any case. At most 1,000 strings."""
+    few = asked.where("asked is not null").distinct()
+    if few.limit(1001).count() > 1000:
+        raise ValueError("ask for at most 1,000 names at once")
+    hit = flows.join(F.broadcast(few), F.contains(F.lower("name"), F.lower("asked")))
+    return hit.groupBy("asked").agg(F.min(F.struct("id", "name")).alias("f")).select("asked", F.col("f.id").alias("flow_id"), "f.name")
+
+
 def flow_steps(flows: DataFrame, n: DataFrame) -> DataFrame:
     """(flow_id, position, node_id, qualified_name): steps of stored flows in order; ids without a node keep a null name."""
     ids = F.from_json("path_json", "array<bigint>")

@@ -73,6 +73,24 @@ def _(t):
     return M.unsummarised(_obs(t))
 
 
+_SETTLED = ", nw AS (SELECT max(created_at) AS t FROM o), ss AS (SELECT session, count(*) AS rows, max(created_at) AS last_at FROM o WHERE session IS NOT NULL GROUP BY 1) "
+
+
+@q("n14_pending_summaries", _O + _SETTLED + "SELECT session, rows, last_at FROM ss, nw WHERE rows >= 3 AND last_at + INTERVAL 30 MINUTES <= t AND session NOT IN (SELECT session FROM o WHERE lower(trim(kind)) = 'session' AND session IS NOT NULL) ORDER BY last_at DESC, session LIMIT 3")
+def _(t):
+    return M.pending_summaries(_obs(t))
+
+
+@q("o14_waiting_sessions", _O + _SETTLED + "SELECT session, last_at + INTERVAL 30 MINUTES AS settles_at FROM ss, nw WHERE last_at + INTERVAL 30 MINUTES > t")
+def _(t):
+    return M.waiting_sessions(_obs(t))
+
+
+@q("n8_best_logs", _O + "SELECT session, platform_source, replies FROM (SELECT session, platform_source, count(*) AS replies, row_number() OVER (PARTITION BY session ORDER BY count(*) DESC, platform_source NULLS FIRST) AS k FROM o WHERE session IS NOT NULL AND lower(trim(kind)) <> 'prompt' GROUP BY 1, 2) WHERE k = 1")
+def _(t):
+    return M.best_logs(_obs(t))
+
+
 @q("b30_memory_filter", _O + "SELECT id FROM o WHERE lower(trim(kind)) IN ('note', 'bugfix') AND created_at >= timestamp '2025-03-01' AND created_at < timestamp '2025-08-02'")
 def _(t):
     return M.memory_filter(_obs(t), kinds=["note", "bugfix"], start="2025-03-01", end="2025-08-01").select("id")

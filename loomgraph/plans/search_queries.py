@@ -143,11 +143,24 @@ def _(t):
     return S.nearest(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), 40, least=0.25)
 
 
-@q("j6_embedding_text", graph=True)
+_EMBED = ", tx AS (SELECT qualified_name, concat_ws(' ', concat_ws('.', parent_name, name), " + _WORDS + ", lower(kind), 'in ' || parent_name, params, 'returns ' || return_type, regexp_extract(file_path, '([^/]+)/[^/]*$', 1), language) AS text FROM n WHERE kind <> 'File') "
+
+
+@q("j6_embedding_text", _EMBED + "SELECT qualified_name, text, sha256(text) AS text_hash FROM tx", graph=True)
 def _(t, n, e):
     return S.embedding_text(n)
 
 
+@q("j5_stale_texts", _EMBED + "SELECT qualified_name, sha256(text) AS text_hash FROM tx WHERE NOT EXISTS (SELECT 1 FROM node_vectors v WHERE v.qualified_name = tx.qualified_name AND v.provider = 'onnx:pocket-mini' AND v.text_hash = sha256(tx.text))", graph=True)
+def _(t, n, e):
+    return S.stale_texts(S.embedding_text(n), t("node_vectors"), "onnx:pocket-mini").select("qualified_name", "text_hash")
+
+
+@q("g3_search_counts", _NODE_TEXT + _bm25("nt", "id", "text", _ALL, "SELECT query_id, count(*) AS nodes FROM r GROUP BY 1").replace(_Q, _NQ), graph=True)
+def _(t, n, e):
+    return S.bm25(S.node_text(n), _node_queries(n), "id", "text", limit=None).groupBy("query_id").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @q("c8_missing_vectors", "SELECT qualified_name FROM n WHERE kind <> 'File' AND qualified_name NOT IN (SELECT qualified_name FROM node_vectors WHERE vector IS NOT NULL)", graph=True)
 def _(t, n, e):
     return n.where("kind <> 'File'").join(t("node_vectors").where("vector is not null").select("qualified_name").distinct(), "qualified_name", "left_anti").select("qualified_name")
@@ -238,6 +251,12 @@ def _(t, n, e):
     return K.snapshot_diff(t("nodes").where("ingested_at < timestamp_ntz '2025-06-01'"), t("nodes").where("updated_at >= timestamp_ntz '2025-03-01'"), "qualified_name")
 
 
+@q("l6_edge_diff", "WITH a AS (SELECT DISTINCT kind, source_qualified AS s, target_qualified AS t FROM edges WHERE ingested_at < timestamp '2025-06-01'), z AS (SELECT DISTINCT kind, source_qualified, target_qualified FROM edges WHERE updated_at >= timestamp '2025-03-01') SELECT * FROM (SELECT 'added' AS change, count(*) AS n FROM (SELECT * FROM z EXCEPT SELECT * FROM a) UNION ALL SELECT 'removed', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM z)) WHERE n > 0")
+def _(t):
+    key = ["kind", "source_qualified", "target_qualified"]
+    return K.edge_diff(t("edges").where("ingested_at < timestamp_ntz '2025-06-01'"), t("edges").where("updated_at >= timestamp_ntz '2025-03-01'"), key).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
 @q("p3_file_pairs", ", x AS (SELECT string_split(source_qualified, '::')[1] AS a, string_split(target_qualified, '::')[1] AS b FROM e WHERE source_qualified IN (SELECT qualified_name FROM n) AND target_qualified IN (SELECT qualified_name FROM n)) SELECT a, b, count(*) AS n FROM x WHERE a <> b GROUP BY 1, 2", graph=True)
 def _(t, n, e):
     x = G.edges_among(e, n).select(F.substring_index("source_qualified", "::", 1).alias("a"), F.substring_index("target_qualified", "::", 1).alias("b")).where("a <> b")

@@ -176,3 +176,9 @@ def _(t, n, e):
 @q("g4_top_symbols", _DIR + """, dg AS (SELECT qualified_name, count(*) AS degree FROM (SELECT source_qualified AS qualified_name FROM e UNION ALL SELECT target_qualified FROM e) GROUP BY 1) SELECT community, qualified_name, degree, place FROM (SELECT community, mm.qualified_name, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, mm.qualified_name) AS place FROM mm LEFT JOIN dg ON dg.qualified_name = mm.qualified_name) WHERE place <= 5""", graph=True)
 def _(t, n, e):
     return C.top_symbols(C.by_directory(n), G.degree(e))
+
+
+@q("h15_top_folders", _DIR + """, fd AS (SELECT mm.community, array_to_string(p[1:least(2, len(p) - 1)], '/') AS folder FROM mm JOIN dd USING (qualified_name)), fc AS (SELECT community, folder, count(*) AS n FROM fd GROUP BY 1, 2),
+fs AS (SELECT *, sum(n) OVER (PARTITION BY community) AS total, row_number() OVER (PARTITION BY community ORDER BY n DESC, folder) AS place FROM fc) SELECT community, folder, round(n / total, 4) AS share, place FROM fs WHERE place <= 2""", graph=True)
+def _(t, n, e):
+    return C.top_folders(C.by_directory(n), n)

@@ -138,3 +138,9 @@ def _(t):
 @q("m2_flows_by_entry_kind", "SELECT n.kind, count(*) AS flows, round(max(criticality), 6) AS top FROM flows f JOIN n ON n.id = f.entry_point_id GROUP BY 1", graph=True)
 def _(t, n, e):
     return t("flows").join(n.select(F.col("id").alias("entry_point_id"), "kind"), "entry_point_id").groupBy("kind").agg(F.count(F.lit(1)).alias("flows"), F.round(F.max("criticality"), 6).alias("top"))
+
+
+@q("m3_flows_by_name", "SELECT asked, id AS flow_id, name FROM (SELECT asked, f.id, f.name, row_number() OVER (PARTITION BY asked ORDER BY f.id) AS k FROM flows f JOIN (VALUES ('load'), ('Rank'), ('zzz')) a(asked) ON contains(lower(f.name), lower(asked))) WHERE k = 1")
+def _(t):
+    f = t("flows")
+    return T.flows_by_name(f, f.sparkSession.createDataFrame([("load",), ("Rank",), ("zzz",)], "asked string"))
