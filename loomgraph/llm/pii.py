@@ -316,12 +316,14 @@ def find(text: str, model: NameModel) -> list[tuple[str, int, int]]:
         for m in _EMAIL.finditer(t):
             if not re.match(r"git@", m.group(), re.I) or t[m.end() : m.end() + 1] not in (":", "/"):
                 take("email", *m.span())
-    if _DIGIT.search(t):
+    digits = len(_DIGIT.findall(t))
+    if digits:
         for m in _ADDRESS.finditer(t):
             base = m.group("base")
             if base and (base.split()[0].lower() in SOFTWARE or _AFTER_STREET.match(t, m.end())):
                 continue
             take("address", *m.span())
+    if digits >= 6:  # no number below has fewer
         for m in _ID_LABEL.finditer(t):
             if sum(c.isdigit() for c in m.group(1)) >= 6:
                 take("id_number", *m.span(1))
@@ -330,7 +332,7 @@ def find(text: str, model: NameModel) -> list[tuple[str, int, int]]:
         for m in _PHONE.finditer(t):
             if 7 <= sum(c.isdigit() for c in m.group()) <= 15:
                 take("phone", *m.span())
-        for m in _BARE_PHONE.finditer(t):
+        for m in _BARE_PHONE.finditer(t) if digits >= 10 else ():
             if _PHONE_CUE.search(t, max(0, m.start() - 40), m.start()):
                 take("phone", *m.span())
     for a, b in find_names(t, model, taken):
