@@ -11,6 +11,8 @@ from loomgraph.functions import rules
 from loomgraph.session import materialise
 
 ROUNDS, LEVELS = 10, 3
+#: A level is at rest when no more than this share of its nodes would move.
+STILL = 0.01
 # Words too common to name a community.
 COMMON_WORDS = "get set self init new create update delete add remove make build from to for with the and test main run do is has on of in at by my this that all none should when then given return returns raise raises expect expected assert tests be it if not".split()
 
@@ -123,7 +125,7 @@ def modularity_graph(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def modularity(graph: DataFrame, rounds: int = ROUNDS, levels: int = LEVELS, resolution: float | None = None) -> DataFrame:
-    """(id, community): local moving until no node moves (at most `rounds` rounds), communities contracted to nodes of the next level, for at most `levels` levels; communities that are not connected are split at last. A community is named by its least id."""
+    """(id, community): local moving until hardly a node (STILL) would move, at most `rounds` rounds, communities contracted to nodes of the next level, for at most `levels` levels; communities that are not connected are split at last. A community is named by its least id."""
     both = materialise(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "edges")
     deg = materialise(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "degrees")
     total = deg.agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("n")).first()
@@ -159,10 +161,10 @@ def _local_moving(both: DataFrame, nodes: DataFrame, gamma: float, m: float, rou
         turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
         step = comm.join(best, "id", "left").select("id", F.when(turn & (F.col("b.g") < 0), F.col("b.community")).otherwise(F.col("community")).alias("community"), "k", (F.coalesce(F.col("b.g") < 0, F.lit(False)) & F.coalesce("b.moved", F.lit(False))).alias("wants"))
         seen = Observation()
-        comm = materialise(step.observe(seen, F.count(F.when(F.col("wants"), 1)).alias("wants")), "communities").drop("wants")
+        comm = materialise(step.observe(seen, F.count(F.when(F.col("wants"), 1)).alias("wants"), F.count(F.lit(1)).alias("nodes")), "communities").drop("wants")
         wants = seen.get["wants"]
         moves += wants
-        if not wants:
+        if wants <= STILL * seen.get["nodes"]:
             break
     return moves, comm
 
